@@ -1 +1,8 @@
+"""A multi-version analytics engine on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions shipped to executors travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
