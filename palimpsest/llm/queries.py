@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, quality, sharding
+from palimpsest.llm import byte_bpe, exact_dedup, packing, quality, sharding, token_files
 
 #: 5 regions of 2 racks of 4 shards.
 SHARD_TREE = sharding.HashTree.uniform(5, 2, 4)
@@ -18,18 +20,40 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_documents(spark, sf_dir), SHARD_TREE, spark)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_documents(spark, sf_dir), spark, tokenizer).drop("row")
+
+
 def op6_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), spark).drop("row")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir), spark, ranks, pattern), ranks)
+    return both.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    found = token_files.read(*token_files.write(_documents(spark, sf_dir), spark, tokenizer))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chunk_recipe_dedup": op6_chunk_recipe_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
