@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, exact_dedup, packing, quality, sharding, token_files
+from palimpsest.llm import byte_bpe, exact_dedup, language, packing, quality, sharding, token_files, toxicity
+from palimpsest.llm.shared import held_out
 
 #: 5 regions of 2 racks of 4 shards.
 SHARD_TREE = sharding.HashTree.uniform(5, 2, 4)
@@ -20,6 +21,12 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_documents(spark, sf_dir), SHARD_TREE, spark)
 
 
+def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(_documents(spark, sf_dir), spark, tokenizer).drop("row")
@@ -37,6 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_documents(spark, sf_dir))
 
@@ -49,9 +62,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
+    "op2_ecoc_language": op2_ecoc_language,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chunk_recipe_dedup": op6_chunk_recipe_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_kneser_ney_toxicity": op8_kneser_ney_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }

@@ -143,7 +143,10 @@ def train_dictionary(encoded: DataFrame) -> bytes:
     import zstandard
 
     hashed = encoded.select(F.xxhash64("doc_id", "n_tokens").alias("h"), F.substring("ids", 1, SAMPLE_ROW_BYTES).alias("ids"))
-    sample = [bytes(r.ids) for r in hashed.orderBy("h").limit(SAMPLE_ROWS).select("ids").collect()]
+    # First the hashes alone: tasks that each returned so many rows of ids would flood the driver.
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= last).limit(SAMPLE_ROWS).collect() if last is not None else []
+    sample = [bytes(r.ids) for r in sorted(rows)]
     if len(sample) < 64 or sum(map(len, sample)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
