@@ -1,4 +1,71 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: documents to packed training sequences.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each stage takes the table that the stage before wrote, drops or places its rows, and
+hands on documents with the columns they came with; the last one returns places.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import exact_dedup, language, near_dedup, packing, toxicity
+from palimpsest.llm.shared import Workspace
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rejected ids; null ids are never rejected. Ids are few against texts, so Spark may broadcast them."""
+    bad = rejected.select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: rejected are texts without letters and ambiguous ones."""
+    found = language.predict(docs, language.train(docs))
+    return _without(docs, found.where((F.col("lang_pred") == "und") | F.col("ambiguous")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not call toxic."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.deduplicate(docs, spark)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return near_dedup.deduplicate(docs, spark)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents that are left."""
+    return packing.pack(docs, spark, public_tokenizers.path("word_bpe_49k.json")).drop("row")
+
+
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_toxic", drop_toxic),
+    ("drop_copies", drop_copies),
+    ("drop_near_copies", drop_near_copies),
+    ("pack_sequences", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = work.stage(stage(spark, docs, sf_dir), name)
+        if i > 1:
+            work.drop(STAGES[i - 1][0])
+    return docs
+
+
+#: SQL has no fitted models and no tokenizer.
+ORACLE_SQL: str | None = None
