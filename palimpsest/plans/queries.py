@@ -151,7 +151,7 @@ _RESOLVED = f"""
 
 
 @query(_RESOLVED + """
-    SELECT user_id, event_type, coalesce(sum(amount), 0) AS amount, coalesce(CAST(arg_min(active, seq) FILTER (active IS NOT NULL) AS VARCHAR), 'none') AS active,
+    SELECT user_id, event_type, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount, coalesce(CAST(arg_min(active, seq) FILTER (active IS NOT NULL) AS VARCHAR), 'none') AS active,
            arg_max(note, seq) FILTER (note IS NOT NULL) AS note, max(seq) AS seq
     FROM live GROUP BY ALL HAVING bool_or(kind <> 'delete')""")
 def merge_sum(spark, d):
@@ -167,7 +167,7 @@ def merge_append_ordered(spark, d):
 
 
 @query(_RESOLVED + """, k AS (SELECT user_id, event_type FROM live GROUP BY ALL HAVING bool_or(kind = 'delete') AND bool_or(kind = 'merge'))
-    SELECT user_id, event_type, sum(amount) AS amount, max(seq) AS seq FROM live JOIN k USING (user_id, event_type) GROUP BY ALL""")
+    SELECT user_id, event_type, CAST(sum(amount) AS BIGINT) AS amount, max(seq) AS seq FROM live JOIN k USING (user_id, event_type) GROUP BY ALL""")
 def merge_after_delete(spark, d):
     log = event_log(spark, d)
     state = visibility.resolve(log, KEYS, {"amount": merge.Sum()}, single=True)
@@ -176,7 +176,7 @@ def merge_after_delete(spark, d):
 
 
 @query(_RESOLVED + """
-    SELECT user_id, event_type, sum(amount * 3 + 1) AS amount, max(seq) AS seq
+    SELECT user_id, event_type, CAST(sum(amount * 3 + 1) AS BIGINT) AS amount, max(seq) AS seq
     FROM live WHERE kind <> 'delete' GROUP BY ALL""")
 def merge_custom_fold(spark, d):
     fold = merge.Fold(F.lit(0).cast("long"), lambda total, x: total + x * 3 + 1)
@@ -187,7 +187,7 @@ def merge_custom_fold(spark, d):
     WITH {EVENT_LOG_SQL}, g AS (
         SELECT *, sum(CASE WHEN kind = 'merge' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY seq) AS epoch FROM log)
     SELECT user_id, event_type, seq, CASE WHEN kind = 'merge' THEN 'put' ELSE kind END AS kind,
-           CASE WHEN kind = 'merge' THEN coalesce(sum(amount) OVER (PARTITION BY user_id, event_type, epoch ORDER BY seq), 0) ELSE amount END AS amount
+           CASE WHEN kind = 'merge' THEN CAST(coalesce(sum(amount) OVER (PARTITION BY user_id, event_type, epoch ORDER BY seq), 0) AS BIGINT) ELSE amount END AS amount
     FROM g""")
 def merge_to_put_rewrite(spark, d):
     found = visibility.merges_as_puts(event_log(spark, d), KEYS, "amount", merge.Sum().running)
@@ -521,7 +521,7 @@ def threshold_retention(spark, d):
 @query(f"""
     WITH r AS (SELECT c_custkey, {_BALANCE} >= 5000 AS kept FROM customer),
     s AS (SELECT CASE WHEN coalesce(kept, FALSE) THEN 'retained' WHEN c_custkey % 10 = 1 THEN 'deferred' ELSE 'reclaimable' END AS state, c_custkey FROM r)
-    SELECT state, count(*) AS n, sum(c_custkey) AS bytes FROM s GROUP BY ALL""")
+    SELECT state, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS bytes FROM s GROUP BY ALL""")
 def retention_stats(spark, d):
     rows = _ranking(spark, d)
     kept = rows.where(retention.threshold(F.col("points"), 5000.0, True, "lowest"))
