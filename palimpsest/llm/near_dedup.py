@@ -9,7 +9,7 @@ a billion (``_least``). Lists are never expanded into all pairs:
 
 * a list proposes each member with its leader, in a few rounds with other leaders; a link makes
   the two one component, and only members of different components matter further;
-* values that over HOT nodes retain are hot. Nodes whose sketches they do not dominate are found by
+* values that more than HOT nodes retain are hot. Nodes whose sketches they do not dominate are found by
   their other values alone, so passages that many documents share propose nothing;
 * what is left, members of different components in one list, is compared exhaustively: in lists of
   at most HOT members by a join, in larger ones by blocks that emit only pairs that pass the sketch filter.
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,8 @@ from palimpsest.llm.shared import Workspace
 WORDS = 5
 #: Link at intersection / union of at least so many percent.
 PERCENT = 75
-#: Retained hashes of a sketch.
-K = 64
-#: Retained values of a list of a plain node; enough that a pair above the threshold shares one.
-PLAIN = 24
 #: A value is hot that more nodes retain.
 HOT = 64
-#: Shares of hot values in a sketch from which all its other values are listed, and the hot ones too.
-MIXED, DOMINATED = 0.2, 0.5
-DOMINATED_VALUES = 32
 STAR_ROUNDS = 3
 #: Members of a block of a hot list, and the ratio of sizes of a size class.
 BLOCK = 512
@@ -59,6 +53,24 @@ def _least(k: int, percent: int = PERCENT) -> int:
     return k
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How pairs are proposed.
+
+    ``k`` hashes make a sketch. ``plain`` of a node's values are listed, enough that a pair above the threshold
+    shares one; all its cold values if over ``mixed`` of its sketch is hot, and ``dominated_values`` hot ones too if
+    over ``dominated`` is.
+    """
+
+    k: int = 64
+    plain: int = 24
+    mixed: float = 0.2
+    dominated: float = 0.5
+    dominated_values: int = 32
+
+
+DOCUMENTS = Plan()
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _INSIDE = np.ones(256, bool)
@@ -99,7 +111,7 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def sketches(rows: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
+def sketches(rows: DataFrame, words: int = WORDS, k: int = DOCUMENTS.k) -> DataFrame:
     """``row, doc_id, n_shingles, digest, sketch`` of (row, doc_id, text) rows."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +144,16 @@ def full_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
-class _Linker:
-    """The rounds of one run over nodes (node, n, sketch)."""
+class Linker:
+    """The rounds of one run over nodes (node, n, sketch).
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, work: Workspace, percent: int, k: int) -> None:
-        self.rows, self.nodes, self.work, self.percent, self.k = rows, nodes, work, percent, k
+    ``sets`` gives (node, shingles) of the nodes in a table's ``node`` column. ``native`` compares blocks by a join
+    with a condition in place of Arrow code.
+    """
+
+    def __init__(self, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], work: Workspace, percent: int, plan: Plan = DOCUMENTS, native: bool = False) -> None:
+        self.nodes, self.sets, self.work, self.percent, self.plan, self.native = nodes, sets, work, percent, plan, native
+        self.k = plan.k
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.round = 0
@@ -151,8 +168,8 @@ class _Linker:
         share = F.size("hot") / F.size("sketch")
         both = both.select(
             "node", "n",
-            F.when(share <= MIXED, F.slice(cold, 1, PLAIN)).otherwise(cold).alias("cold"),
-            F.when(share > DOMINATED, F.slice(F.sort_array("hot"), 1, DOMINATED_VALUES)).otherwise(F.array().cast("array<long>")).alias("hot"),
+            F.when(share <= self.plan.mixed, F.slice(cold, 1, self.plan.plain)).otherwise(cold).alias("cold"),
+            F.when(share > self.plan.dominated, F.slice(F.sort_array("hot"), 1, self.plan.dominated_values)).otherwise(F.array().cast("array<long>")).alias("hot"),
         )
         listed = both.select("node", "n", F.explode(F.concat(
             F.transform("cold", lambda v: F.struct(v.alias("value"), F.lit(False).alias("hot"))),
@@ -216,6 +233,8 @@ class _Linker:
         cells = own.withColumn("other", F.explode(others)).select(
             "value", "node", "n", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
         cells = cells.join(self.nodes.select("node", "sketch"), "node")
+        if self.native:
+            return self.joined_blocks(cells, least)
 
         def compare(table: pa.Table) -> pa.Table:
             node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "component"))
@@ -246,6 +265,16 @@ class _Linker:
         self_k = self.k
         return cells.groupBy("value", "x", "y").applyInArrow(compare, "a long, b long").where("a < b").distinct()
 
+    def joined_blocks(self, cells: DataFrame, least: int) -> DataFrame:
+        """Blocks compared inside a join, whose condition lets through only pairs that pass the sketch filter."""
+        mine = cells.where("first")
+        yours = cells.where("NOT first OR x = y").select("value", "x", "y", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "sketch")])
+        small = F.least(F.size("sketch"), F.size("b_sketch"))
+        need = F.when(small < self.k, F.ceil(small * self.percent / 200)).otherwise(F.lit(least))
+        fits = (F.col("node") != F.col("b_node")) & (F.col("component") != F.col("b_component")) & self.sized(F.col("n"), F.col("b_n"))
+        met = mine.join(yours, (mine["value"] == yours["value"]) & (mine["x"] == yours["x"]) & (mine["y"] == yours["y"]) & fits & (F.size(F.array_intersect("sketch", "b_sketch")) >= need))
+        return met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
+
     def test(self, pairs: DataFrame) -> None:
         """Filter by union sketch, verify by full sets, add the links."""
         self.round += 1
@@ -261,8 +290,8 @@ class _Linker:
         whole = 100 * overlap >= self.percent * F.size("u")
         passed = F.when(F.size("u") < self.k, whole).otherwise(overlap >= _least(self.k, self.percent))
         likely = self.work.stage(met.where(passed).select("a", "b", "na", "nb"), f"likely-{self.round}")
-        ends = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
-        sets = self.work.stage(full_sets(self.rows.join(ends, "row", "left_semi")), f"sets-{self.round}")
+        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        sets = self.work.stage(self.sets(ends), f"sets-{self.round}")
         both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         linked = both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
@@ -280,7 +309,7 @@ class _Linker:
         return components(self.links, self.work, "final")
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", percent: int = PERCENT, plan: Plan = DOCUMENTS) -> DataFrame:
     """Every row's component of near-duplicates: ``row, doc_id, n_shingles, component_id, kept``.
 
     The component is the smallest doc_id reachable over links of at least ``percent``
@@ -290,12 +319,17 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", pe
     """
     work = Workspace(spark, "near")
     rows = _rows(docs, text)
-    found = work.stage(sketches(rows, k=k), "sketches")
+    found = work.stage(sketches(rows, k=plan.k), "sketches")
     sets = found.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     sets = work.stage(sets, "equal")
     nodes = found.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch").join(sets.select("node"), "node", "left_semi")
     nodes = work.stage(nodes, "nodes")
-    linked = _Linker(rows, nodes, work, percent, k).run()
+
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        return full_sets(rows.join(ends.withColumnRenamed("node", "row"), "row", "left_semi"))
+
+    linked = Linker(nodes, sets_of, work, percent, plan).run()
     of = sets.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = work.stage(of.join(least, "component").select("digest", "component_id", F.lit(True).alias("known")), "labels")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, exact_dedup, language, near_dedup, packing, quality, sharding, token_files, toxicity
+from palimpsest.llm import byte_bpe, exact_dedup, language, line_dedup, near_dedup, packing, quality, sharding, token_files, toxicity
 from palimpsest.llm.shared import held_out
 
 #: 5 regions of 2 racks of 4 shards.
@@ -27,6 +27,10 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.near_lines(_documents(spark, sf_dir), spark)
+
+
 def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), spark).drop("row")
 
@@ -67,6 +71,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hash_tree_shards": op1_hash_tree_shards,
     "op2_ecoc_language": op2_ecoc_language,
+    "op3_minhash_line_dedup": op3_minhash_line_dedup,
     "op4_bottom_k_near_dedup": op4_bottom_k_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chunk_recipe_dedup": op6_chunk_recipe_dedup,
