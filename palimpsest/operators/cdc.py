@@ -77,8 +77,8 @@ def decode(raw: DataFrame, row_schema: str, value: str = "value") -> DataFrame:
 
 def check_topic(events: DataFrame, topic: str = "topic") -> DataFrame:
     """Marks events whose topic is not the one of their source table."""
-    bound = F.concat_ws(".", "source.db", "source.schema", "source.table")
-    fits = F.col("tombstone") | F.endswith(F.col(topic), bound)
+    bound = F.concat("source.db", F.lit("."), "source.schema", F.lit("."), "source.table")
+    fits = F.col("tombstone") | F.coalesce(F.endswith(F.col(topic), bound), F.lit(False))
     return events.withColumn("error", F.coalesce("error", F.when(~fits, F.lit("topic does not match its table"))))
 
 
