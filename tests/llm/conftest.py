@@ -31,7 +31,7 @@ def odd(spark, tmp_path_factory):
     for i in range(120, 130):
         rows.append((i, " ".join(base), "en", "s", 1, 1, "x"))
     rows.append((None, "no id at all", None, "s", 1, 1, "x"))
-    path = str(tmp_path_factory.mktemp("odd"))
+    path = f"{tmp_path_factory.mktemp('odd')}/documents"
     schema = "doc_id long, text string, lang string, source string, n_chars long, row long, shard string"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
