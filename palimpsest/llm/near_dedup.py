@@ -301,11 +301,11 @@ class Linker:
 
     def run(self) -> DataFrame:
         lists = self.lists()
-        for _ in range(STAR_ROUNDS):
+        for step in (*[self.star] * STAR_ROUNDS, self.rest):
             lists = self.labelled(lists.select("value", "hot", "node", "n"))
-            self.test(self.star(lists))
-        lists = self.labelled(lists.select("value", "hot", "node", "n"))
-        self.test(self.rest(lists))
+            if self.links is not None and not lists.take(1):
+                break
+            self.test(step(lists))
         return components(self.links, self.work, "final")
 
 
