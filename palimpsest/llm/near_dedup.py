@@ -35,11 +35,11 @@ WORDS = 5
 #: Link at intersection / union of at least so many percent.
 PERCENT = 75
 #: A value is hot that more nodes retain.
-HOT = 64
+HOT = 24
 STAR_ROUNDS = 3
-#: Members of a block of a hot list, and the ratio of sizes of a size class.
+#: Members of a block of a hot list, and the ratio of sizes of a size class: sizes that can be linked are in one or in neighbouring classes.
 BLOCK = 512
-SIZE_CLASS = 1.1
+SIZE_CLASS = 4 / 3
 MISS = 1e-9
 
 
@@ -57,16 +57,19 @@ def _least(k: int, percent: int = PERCENT) -> int:
 class Plan:
     """How pairs are proposed.
 
-    ``k`` hashes make a sketch. ``plain`` of a node's values are listed, enough that a pair above the threshold
-    shares one; all its cold values if over ``mixed`` of its sketch is hot, and ``dominated_values`` hot ones too if
-    over ``dominated`` is.
+    ``k`` hashes make a sketch, of which the first ``estimate`` serve the filter. ``plain`` of a node's values are
+    listed, enough that a pair above the threshold shares one, and ``shared`` of them at least; all its cold values if
+    over ``mixed`` of its sketch is hot; and ``dominated_values`` hot ones too if over ``dominated`` is, so much that a
+    pair might share hot values only.
     """
 
-    k: int = 64
+    k: int = 128
+    estimate: int = 64
     plain: int = 24
+    shared: int = 3
     mixed: float = 0.2
-    dominated: float = 0.5
-    dominated_values: int = 32
+    dominated: float = 0.62
+    dominated_values: int = 24
 
 
 DOCUMENTS = Plan()
@@ -153,7 +156,7 @@ class Linker:
 
     def __init__(self, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], work: Workspace, percent: int, plan: Plan = DOCUMENTS, native: bool = False) -> None:
         self.nodes, self.sets, self.work, self.percent, self.plan, self.native = nodes, sets, work, percent, plan, native
-        self.k = plan.k
+        self.k = plan.estimate
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.round = 0
@@ -166,15 +169,17 @@ class Linker:
         both = self.nodes.join(hit, "node", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
         cold = F.array_except("sketch", "hot")
         share = F.size("hot") / F.size("sketch")
+        share_of_hot = F.col("share")
         both = both.select(
-            "node", "n",
+            "node", "n", share.alias("share"),
             F.when(share <= self.plan.mixed, F.slice(cold, 1, self.plan.plain)).otherwise(cold).alias("cold"),
             F.when(share > self.plan.dominated, F.slice(F.sort_array("hot"), 1, self.plan.dominated_values)).otherwise(F.array().cast("array<long>")).alias("hot"),
         )
-        listed = both.select("node", "n", F.explode(F.concat(
+        plain = (F.size("cold") >= self.plan.plain) & (share_of_hot <= self.plan.mixed)
+        listed = both.select("node", "n", plain.alias("plain"), F.explode(F.concat(
             F.transform("cold", lambda v: F.struct(v.alias("value"), F.lit(False).alias("hot"))),
             F.transform("hot", lambda v: F.struct(v.alias("value"), F.lit(True).alias("hot"))),
-        )).alias("e")).select("e.value", "e.hot", "node", "n")
+        )).alias("e")).select("e.value", "e.hot", "node", "n", "plain")
         listed = self.work.stage(listed, "listed")
         several = listed.groupBy("value").count().where(F.col("count") > 1)
         lists = self.work.stage(listed.join(several.select("value"), "value", "left_semi"), "lists")
@@ -206,10 +211,12 @@ class Linker:
 
     def rest(self, lists: DataFrame) -> DataFrame:
         """All other pairs of members of different components."""
-        cold = lists.where("not hot").select("value", "node", "n", "component")
-        other = cold.select("value", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+        cold = lists.where("not hot").select("value", "node", "n", "component", "plain")
+        other = cold.select("value", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"), F.col("plain").alias("b_plain"))
         joined_ = cold.join(other, "value").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("b_component")) & self.sized(F.col("n"), F.col("b_n")))
-        pairs = joined_.select(F.col("node").alias("a"), "b").distinct()
+        # Two plain nodes above the threshold share several lists, so one alone says nothing.
+        met = joined_.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"), F.first(F.col("plain") & F.col("b_plain")).alias("both_plain"))
+        pairs = met.where(~F.col("both_plain") | (F.col("shared") >= self.plan.shared)).select("a", "b")
         hot = lists.where("hot")
         if hot.take(1):
             pairs = pairs.unionByName(self.blocks(hot)).distinct()
@@ -218,31 +225,37 @@ class Linker:
     def blocks(self, hot: DataFrame) -> DataFrame:
         """Pairs of hot lists that pass the sketch filter, found block by block.
 
-        A member's block is its size class and a slot of BLOCK members or so; blocks meet in cells, each
-        pair of blocks with compatible sizes once, so no task sees more than two blocks.
+        Members outside a list's largest component meet all its members, in cells of one block of either kind and of
+        compatible size classes, so no task sees more than two blocks of BLOCK members or so.
         """
-        reach = math.ceil(math.log(100 / self.percent) / math.log(SIZE_CLASS)) + 1
-        least, percent = min(_least(self.k), self.k), self.percent
-        counts = hot.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
-        block = F.struct(F.floor(F.log(F.col("n")) / math.log(SIZE_CLASS)).cast("int").alias("c"), F.pmod(F.xxhash64("node"), F.col("slots")).cast("int").alias("s"))
-        own = hot.join(counts, "value").withColumn("own", block)
-        others = F.flatten(F.transform(
-            F.sequence(F.col("own.c") - reach, F.col("own.c") + reach),
-            lambda c: F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda s: F.struct(c.alias("c"), s.alias("s"))),
-        ))
-        cells = own.withColumn("other", F.explode(others)).select(
-            "value", "node", "n", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"))
-        cells = cells.join(self.nodes.select("node", "sketch"), "node")
+        least, percent = _least(self.k, self.percent), self.percent
+        reach = math.ceil(math.log(100 / percent) / math.log(SIZE_CLASS) - 1e-9)
+        parts = hot.groupBy("value", "component").agg(F.count("*").alias("c"))
+        parts = parts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all"))
+        slots = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+        parts = parts.select("value", "main", slots(F.col("all")).alias("slots"), slots(F.col("all") - F.col("c")).alias("minor_slots"))
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_CLASS) + 1e-12).cast("int")
+        own = hot.join(parts, "value").withColumn("size", size)
+        slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        classes = F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach))
+        columns = ["value", "node", "n", "component"]
+        minor = own.where("component <> main").select(*columns, F.lit(True).alias("first"), F.col("size").alias("x"), slot(F.col("minor_slots")).alias("i"), classes.alias("y"), "slots")
+        minor = minor.select(*columns, "first", "x", "i", "y", each(F.col("slots")).alias("j"))
+        every = own.select(*columns, F.lit(False).alias("first"), classes.alias("x"), F.col("size").alias("y"), slot(F.col("slots")).alias("j"), "minor_slots")
+        every = every.select(*columns, "first", "x", each(F.col("minor_slots")).alias("i"), "y", "j")
+        # Only cells with a minor block have anything to compare.
+        every = every.join(minor.select("value", "x", "i").distinct(), ["value", "x", "i"], "left_semi")
+        cells = minor.unionByName(every.select(minor.columns))
+        cells = cells.join(self.nodes.select("node", F.slice("sketch", 1, self.k).alias("sketch")), "node")
         if self.native:
             return self.joined_blocks(cells, least)
 
         def compare(table: pa.Table) -> pa.Table:
             node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "component"))
             first = table.column("first").to_numpy(zero_copy_only=False)
-            same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
             lists_ = table.column("sketch").to_pylist()
-            left = np.flatnonzero(first)
-            right = left if same else np.flatnonzero(~first)
+            left, right = np.flatnonzero(first), np.flatnonzero(~first)
             out: list[tuple[int, int]] = []
             if len(left) and len(right):
                 values = np.concatenate([np.array(lists_[j], np.int64) for j in right])
@@ -263,16 +276,19 @@ class Linker:
             return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
         self_k = self.k
-        return cells.groupBy("value", "x", "y").applyInArrow(compare, "a long, b long").where("a < b").distinct()
+        return cells.groupBy("value", "x", "i", "y", "j").applyInArrow(compare, "a long, b long").where("a < b").distinct()
 
     def joined_blocks(self, cells: DataFrame, least: int) -> DataFrame:
         """Blocks compared inside a join, whose condition lets through only pairs that pass the sketch filter."""
+        cell = ["value", "x", "i", "y", "j"]
         mine = cells.where("first")
-        yours = cells.where("NOT first OR x = y").select("value", "x", "y", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "component", "sketch")])
+        yours = cells.where("NOT first").select(*[F.col(c).alias(f"b_{c}") for c in (*cell, "node", "n", "component", "sketch")])
         small = F.least(F.size("sketch"), F.size("b_sketch"))
         need = F.when(small < self.k, F.ceil(small * self.percent / 200)).otherwise(F.lit(least))
         fits = (F.col("node") != F.col("b_node")) & (F.col("component") != F.col("b_component")) & self.sized(F.col("n"), F.col("b_n"))
-        met = mine.join(yours, (mine["value"] == yours["value"]) & (mine["x"] == yours["x"]) & (mine["y"] == yours["y"]) & fits & (F.size(F.array_intersect("sketch", "b_sketch")) >= need))
+        for c in cell:
+            fits = fits & (F.col(c) == F.col(f"b_{c}"))
+        met = mine.join(yours, fits & (F.size(F.array_intersect("sketch", "b_sketch")) >= need))
         return met.select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
 
     def test(self, pairs: DataFrame) -> None:
@@ -282,8 +298,8 @@ class Linker:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = self.work.stage(pairs, f"pairs-{self.round}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.slice("sketch", 1, self.k).alias("sa"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.slice("sketch", 1, self.k).alias("sb"))
         met = pairs.join(a, "a").join(b, "b").where(self.sized(F.col("na"), F.col("nb")))
         met = met.select("a", "b", "na", "nb", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.k).alias("u"), F.array_intersect("sa", "sb").alias("i"))
         overlap = F.size(F.array_intersect("u", "i"))
@@ -302,7 +318,7 @@ class Linker:
     def run(self) -> DataFrame:
         lists = self.lists()
         for step in (*[self.star] * STAR_ROUNDS, self.rest):
-            lists = self.labelled(lists.select("value", "hot", "node", "n"))
+            lists = self.labelled(lists.select("value", "hot", "node", "n", "plain"))
             if self.links is not None and not lists.take(1):
                 break
             self.test(step(lists))
