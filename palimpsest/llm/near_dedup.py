@@ -162,28 +162,25 @@ class Linker:
         self.round = 0
 
     def lists(self) -> DataFrame:
-        """``value, node, n, hot`` of the lists with two members or more."""
-        entries = self.nodes.select("node", F.explode("sketch").alias("value"))
-        hot = self.work.stage(entries.groupBy("value").count().where(F.col("count") > HOT).select("value"), "hot")
-        hit = entries.join(hot, "value", "left_semi").groupBy("node").agg(F.collect_set("value").alias("hot"))
-        both = self.nodes.join(hit, "node", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
-        cold = F.array_except("sketch", "hot")
-        share = F.size("hot") / F.size("sketch")
-        share_of_hot = F.col("share")
-        both = both.select(
-            "node", "n", share.alias("share"),
-            F.when(share <= self.plan.mixed, F.slice(cold, 1, self.plan.plain)).otherwise(cold).alias("cold"),
-            F.when(share > self.plan.dominated, F.slice(F.sort_array("hot"), 1, self.plan.dominated_values)).otherwise(F.array().cast("array<long>")).alias("hot"),
-        )
-        plain = (F.size("cold") >= self.plan.plain) & (share_of_hot <= self.plan.mixed)
-        listed = both.select("node", "n", plain.alias("plain"), F.explode(F.concat(
-            F.transform("cold", lambda v: F.struct(v.alias("value"), F.lit(False).alias("hot"))),
-            F.transform("hot", lambda v: F.struct(v.alias("value"), F.lit(True).alias("hot"))),
-        )).alias("e")).select("e.value", "e.hot", "node", "n", "plain")
-        listed = self.work.stage(listed, "listed")
-        several = listed.groupBy("value").count().where(F.col("count") > 1)
-        lists = self.work.stage(listed.join(several.select("value"), "value", "left_semi"), "lists")
-        self.work.drop("listed", "hot")
+        """``value, node, n, hot, plain`` of the listed values that several nodes retain.
+
+        Values of one node alone are gone after the count; their places still count in a node's first ``plain``.
+        """
+        plan = self.plan
+        entries = self.nodes.select("node", "n", F.size("sketch").alias("size"), F.posexplode("sketch").alias("pos", "value"))
+        counted = entries.groupBy("value").count().where("count > 1")
+        counted = self.work.stage(counted.select("value", (F.col("count") > HOT).alias("hot")), "counted")
+        own = entries.join(counted, "value").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "value", "hot"))).alias("all"))
+        own = own.select("node", "n", "size", "all", F.filter("all", lambda e: e["hot"]).alias("hots"))
+        share = F.size("hots") / F.col("size")
+        cold_before = lambda e: e["pos"] - F.size(F.filter("hots", lambda h: h["pos"] < e["pos"]))
+        plain = F.filter("all", lambda e: ~e["hot"] & (cold_before(e) < plan.plain))
+        kept = F.when(share <= plan.mixed, plain).otherwise(F.filter("all", lambda e: ~e["hot"]))
+        hots = F.when(share > plan.dominated, F.slice("hots", 1, plan.dominated_values)).otherwise(F.slice("hots", 1, 0))
+        is_plain = (share <= plan.mixed) & (F.col("size") - F.size("hots") >= plan.plain)
+        listed = own.select("node", "n", is_plain.alias("plain"), F.explode(F.concat(kept, hots)).alias("e"))
+        lists = self.work.stage(listed.select("e.value", "e.hot", "node", "n", "plain"), "lists")
+        self.work.drop("counted")
         return lists
 
     def labelled(self, lists: DataFrame) -> DataFrame:
