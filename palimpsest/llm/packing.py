@@ -83,7 +83,7 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, drops_space=True)
+        encoder = WordEncoder.shared(tokenizer, drops_space=True)
         for table in tables:
             rows, keys, texts = (table.column(i).to_pylist() for i in range(3))
             for a, b in batches(texts):
