@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as all executors see it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class Workspace:
     """Tables written under the shared folder; they cut lineage and outlive executors."""
 

@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace
+from palimpsest.llm.shared import Workspace, qualified
 from palimpsest.llm.tokenizing import WordEncoder, batches
 
 END_ID = 2
@@ -46,13 +46,6 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as all executors see it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 class TokenFile:
     """A shard file open for reading."""
 
@@ -121,32 +114,38 @@ def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], dictionary: b
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every row, end id included; null text counts as empty."""
+    """``doc_id, n_tokens, packed`` of every row, end id included; null text counts as empty. ``packed`` are the ids,
+    compressed without a dictionary, so that sorting them moves little."""
     end = end_id.to_bytes(4, "little")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, drops_space=False)
+        import zstandard
+
+        encoder, pack = WordEncoder.shared(tokenizer, drops_space=False), zstandard.ZstdCompressor(level=1).compress
         for table in tables:
             keys, texts = table.column(0), table.column(1).to_pylist()
             for a, b in batches(texts):
                 ids = [x + end for x in encoder.encode(texts[a:b])]
                 lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lengths, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                packed = pa.array([pack(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lengths, packed], names=["doc_id", "n_tokens", "packed"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, packed binary")
 
 
 def train_dictionary(encoded: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE_ROWS rows, the first by a hash of their ids, and of each
-    its first SAMPLE_ROW_BYTES bytes. Too small a sample gives none (empty bytes)."""
+    """A dictionary from at most SAMPLE_ROWS rows of at most SAMPLE_ROW_BYTES packed bytes each, the first by a hash.
+    Too small a sample gives none (empty bytes)."""
     import zstandard
 
-    hashed = encoded.select(F.xxhash64("doc_id", "n_tokens").alias("h"), F.substring("ids", 1, SAMPLE_ROW_BYTES).alias("ids"))
+    short = encoded.where(F.octet_length("packed") <= SAMPLE_ROW_BYTES)
+    hashed = short.select(F.xxhash64("doc_id", "n_tokens").alias("h"), "packed")
     # First the hashes alone: tasks that each returned so many rows of ids would flood the driver.
     last = hashed.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
     rows = hashed.where(F.col("h") <= last).limit(SAMPLE_ROWS).collect() if last is not None else []
-    sample = [bytes(r.ids) for r in sorted(rows)]
+    unpack = zstandard.ZstdDecompressor().decompress
+    sample = [unpack(bytes(r.packed)) for r in sorted(rows)]
     if len(sample) < 64 or sum(map(len, sample)) < 8 * DICTIONARY_BYTES:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
@@ -164,24 +163,26 @@ def write(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "tex
     dictionary = train_dictionary(encoded)
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     files = max(1, -(-total // IDS_PER_FILE))
-    folder = _qualified(spark, work.path("files"))
+    folder = qualified(spark, work.path("files"))
     system, path = _filesystem(folder)
     system.create_dir(path)
     with system.open_output_stream(f"{path}/dictionary.zstd") as out:
         out.write(dictionary)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
+        unpack = zstandard.ZstdDecompressor().decompress
         shard = TaskContext.get().partitionId()
         first = next(tables, None)
         if first is None:
             return
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            yield from zip(first.column(0).to_pylist(), first.column(1).to_pylist())
+            yield from zip(first.column(0).to_pylist(), map(unpack, first.column(1).to_pylist()))
             for table in tables:
-                yield from zip(table.column(0).to_pylist(), table.column(1).to_pylist())
+                yield from zip(table.column(0).to_pylist(), map(unpack, table.column(1).to_pylist()))
 
         name = f"shard-{shard:05d}.bin"
         made = write_file(f"{folder}/{name}", rows(), dictionary)
@@ -190,8 +191,9 @@ def write(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "tex
             names = ["shard", "name", "n_docs", "n_tokens", "n_bytes"]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((shard, name, *made), kinds)], names=names)
 
-    ordered = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(files, "doc_id", "tie")
-    ordered = ordered.sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
+    # Equal ids may be many, so the ranges go by the tokens too.
+    ordered = encoded.select("doc_id", "packed", F.xxhash64("packed").alias("tie")).repartitionByRange(files, "doc_id", "tie")
+    ordered = ordered.sortWithinPartitions("doc_id", "tie", "packed").select("doc_id", "packed")
     manifest = work.stage(ordered.mapInArrow(run, _MANIFEST), "manifest")
     work.drop("encoded")
     return manifest, folder, dictionary
