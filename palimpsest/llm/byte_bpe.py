@@ -2,32 +2,38 @@
 
 Documents are cut into pre-tokens, the matches of the tokenizer's pattern. Their positions are not
 shuffled one by one: a block of documents numbers its distinct pre-tokens, so the
-exploded positions become a stream of numbers beside a word list, and only (word, block, number)
-rows go to the global shuffle. There equal words lie side by side and each distinct word is
-encoded once. The ids come back to their block by number and every document is
-reassembled by position. Decoding joins the ids with the token-byte table.
+exploded positions become a stream of numbers beside a word list. The stream stays in a file of the
+shared folder; the words go to the global shuffle, dealt by their hash and packed by block and
+bucket. All copies of a word meet in one task, which encodes it once. The ids come back to their
+block in the words' order, and every document is reassembled by position. Decoding joins the ids
+with the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace
+from palimpsest.llm.shared import Workspace, qualified
 from palimpsest.llm.tokenizing import _LOOSE_SPACE, _PIECE, batches
 
 #: Characters of a block of documents; a longer document is a block of its own.
-BLOCK_CHARS = 16_000_000
-#: Pieces whose cut into pre-tokens a task remembers.
-KNOWN_PIECES = 300_000
+BLOCK_CHARS = 12_000_000
+#: Pieces whose cut into pre-tokens, and words whose ids, a task remembers.
+KNOWN_PIECES = 200_000
+KNOWN_WORDS = 400_000
 
-_BLOCKS = "block long, doc_ids array<long>, lengths array<long>, numbers binary, words array<string>"
-_ENCODED = "block long, number int, ids binary"
+_BLOCKS = "block string, bucket int, words binary"
+_ENCODED = "block string, bucket int, ids binary"
 _DOCS = "doc_id long, n_tokens long, ids binary"
 
 
@@ -60,65 +66,115 @@ def number_words(texts: list[str], pattern) -> tuple[list[str], list[bytes]]:
     return list(numbers), streams
 
 
-def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings as one: their number, their lengths, themselves; compressed."""
+    import zstandard
+
+    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(data[:4], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
+    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _write(folder: str, name: str, data: bytes) -> None:
+    """A file that appears when whole."""
+    system, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
+        out.write(data)
+    system.move(part, path)
+
+
+def _read(folder: str, name: str) -> bytes:
+    system, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
+    with system.open_input_file(path) as found:
+        return found.read()
+
+
+def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFrame:
+    """Writes the streams of all blocks; returns their words by bucket."""
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        import zstandard
         from pyspark import TaskContext
 
         compiled = regex.compile(pattern)
-        block = TaskContext.get().partitionId() << 32
+        task, n = TaskContext.get().partitionId(), 0
         for table in tables:
             keys, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
             for a, b in batches(texts, BLOCK_CHARS):
                 words, streams = number_words(texts[a:b], compiled)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block], pa.int64()),
-                        pa.array([keys[a:b]], pa.list_(pa.int64())),
-                        pa.array([[len(s) // 4 for s in streams]], pa.list_(pa.int64())),
-                        pa.array([b"".join(streams)], pa.binary()),
-                        pa.array([words], pa.list_(pa.string())),
-                    ],
-                    names=["block", "doc_ids", "lengths", "numbers", "words"],
-                )
-                block += 1
+                encoded = [w.encode() for w in words]
+                of = np.array([zlib.crc32(w) % buckets for w in encoded], np.int64)
+                order = np.argsort(of, kind="stable")
+                place = np.empty(len(words), "<i4")
+                place[order] = np.arange(len(words), dtype="<i4")
+                numbers = place[np.frombuffer(b"".join(streams), "<i4")]
+                # The bytes of the numbers one plane after another: high bytes hardly vary and pack well.
+                planes = np.frombuffer(numbers.tobytes(), np.uint8).reshape(-1, 4).T.tobytes()
+                nulls = [k is None for k in keys[a:b]]
+                head = [np.array([k or 0 for k in keys[a:b]], "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), np.array([len(s) // 4 for s in streams], "<i8").tobytes()]
+                block = f"{task:06d}-{n:06d}"
+                n += 1
+                _write(folder, block, _pack([*head, zstandard.ZstdCompressor(level=3).compress(planes)]))
+                bounds = np.searchsorted(of[order], np.arange(buckets + 1))
+                some = [i for i in range(buckets) if bounds[i] < bounds[i + 1] or i == 0]
+                packed = [_pack([encoded[j] for j in order[bounds[i] : bounds[i + 1]]]) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "words"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, _BLOCKS)
 
 
 def _encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``words`` (word, block, number), sorted by word in its partitions, with ids for the word."""
+    """``words``, dealt by bucket, with ids for each word in the place of the word."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
-        last, ids = None, b""
+        encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})._core_bpe.encode_ordinary
+        known: dict[bytes, bytes] = {}
         for table in tables:
             out = []
-            for word in table.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encoding.encode_ordinary(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([table.column(1), table.column(2), pa.array(out, pa.binary())], names=["block", "number", "ids"])
+            for packed in table.column(2).to_pylist():
+                found = _unpack(packed)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                for word in found:
+                    if word not in known:
+                        known[word] = array("I", encode(word.decode())).tobytes()
+                out.append(_pack([known[word] for word in found]))
+            yield pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     return words.mapInArrow(run, _ENCODED)
 
 
-def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One block: its documents, and the ids of its words."""
-    keys, lengths, streams = (left.column(n)[0] for n in ("doc_ids", "lengths", "numbers"))
-    parts = [b""] * right.num_rows
-    for number, ids in zip(right.column("number").to_pylist(), right.column("ids").to_pylist()):
-        parts[number] = ids
-    numbers = np.frombuffer(streams.as_py(), "<i4")
-    out, at = [], 0
-    for length in lengths.as_py():
-        out.append(b"".join(map(parts.__getitem__, numbers[at : at + length].tolist())))
-        at += length
-    counts = pa.array([len(x) // 4 for x in out], pa.int64())
-    return pa.table({"doc_id": pa.array(keys.as_py(), pa.int64()), "n_tokens": counts, "ids": pa.array(out, pa.binary())})
+def _reassemble(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        """One block: the ids of its words, by bucket, for the documents of its stream."""
+        import zstandard
+
+        packed = sorted(zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist()))
+        parts = [ids for _, x in packed for ids in _unpack(x)]
+        keys, nulls, lengths, planes = _unpack(_read(folder, table.column("block")[0].as_py()))
+        numbers = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+        out, at = [], 0
+        for length in np.frombuffer(lengths, "<i8").tolist():
+            out.append(b"".join(map(parts.__getitem__, numbers[at : at + length].tolist())))
+            at += length
+        ids = pa.array(np.frombuffer(keys, "<i8"), pa.int64(), mask=np.frombuffer(nulls, np.uint8).astype(bool))
+        return pa.table({"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+
+    return run
 
 
 def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str) -> DataFrame:
@@ -128,13 +184,14 @@ def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str) -> Da
     rows; other columns are not read.
     """
     work = Workspace(spark, "bpe")
-    blocks = work.stage(_blocks(docs, pattern), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("number", "word")).select("word", "block", "number")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = _encode_words(words.repartition(parts, "word").sortWithinPartitions("word"), ranks, pattern)
+    folder = qualified(spark, work.path("streams"))
+    system, path = pafs.FileSystem.from_uri(folder)
+    system.create_dir(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = work.stage(_blocks(docs, pattern, folder, buckets), "words")
+    encoded = _encode_words(words.repartition(buckets, "bucket"), ranks, pattern)
     # Blocks hold a bounded amount of text, so a block is a group that fits one task.
-    streams = blocks.select("block", "doc_ids", "lengths", "numbers")
-    return streams.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble, _DOCS)
+    return encoded.groupBy("block").applyInArrow(_reassemble(folder), _DOCS)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
