@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups, hash_words, joined
 from palimpsest.llm.language import _FOLD
-from palimpsest.llm.shared import held_out
+from palimpsest.llm.shared import Workspace, held_out
 
 #: Hashed vocabulary, and classes of left neighbours that are told apart.
 VOCABULARY = 1 << 20
@@ -81,21 +81,32 @@ def _count(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, _COUNTS).groupBy("bucket").agg(*sums, *bits)
 
 
-def log_ratio(toxic: np.ndarray, ordinary: np.ndarray, types: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary) for every word of the vocabulary.
 
-    ``types`` are the words' left-neighbour counts in both classes together.
+    Computed where the counts are; the driver gets one number for each word that occurs.
     """
-    shared = (types + 0.5) / (types.sum() + 0.5 * len(types))
+    seen = sum((F.bit_count(f"left{i}") for i in range(1, NEIGHBOURS // 64)), F.bit_count("left0"))
+    # Linear counting: how many neighbours fill so many of the classes.
+    types = NEIGHBOURS * F.log(NEIGHBOURS / F.greatest(F.lit(0.5), F.lit(float(NEIGHBOURS)) - seen))
+    rows = counts.select("bucket", "toxic", "ordinary", (types + 0.5).alias("types"))
+    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "types")]
+    freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("toxic", "ordinary")]
+    total = rows.agg(F.count("*").alias("n"), *sums, *freed).first()
+    unseen = 0.5 * (VOCABULARY - total.n)
+    all_types = (total.types or 0) + unseen
+
+    def backoff(c: str) -> float:
+        return total[f"{c}_freed"] / total[c] if total[c] else 1.0
 
-    def probability(counts: np.ndarray) -> np.ndarray:
-        total = counts.sum()
-        if not total:
-            return shared
-        backoff = np.minimum(counts, discount).sum() / total
-        return np.maximum(counts - discount, 0) / total + backoff * shared
+    def probability(c: str):
+        own = F.greatest(F.col(c) - discount, F.lit(0)) / total[c] if total[c] else F.lit(0)
+        return own + backoff(c) * F.col("types") / all_types
 
-    return (np.log(probability(toxic)) - np.log(probability(ordinary))).astype(np.float32)
+    found = rows.select("bucket", (F.log(probability("toxic")) - F.log(probability("ordinary"))).cast("float").alias("ratio")).toArrow()
+    out = np.full(VOCABULARY, np.log(backoff("toxic") / backoff("ordinary")), np.float32)
+    out[found.column("bucket").to_numpy()] = found.column("ratio").to_numpy()
+    return out
 
 
 @dataclass(frozen=True)
@@ -158,16 +169,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     usable = usable.select("doc_id", (F.col("toxic") != 0).alias("toxic"))
     texts = docs.where(~held_out(F.col("doc_id")) & F.col(text).isNotNull())
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    both = texts.join(usable, "doc_id")
+    # Always the same join, however few labels there are: it moves the texts that may teach, once.
+    both = texts.join(usable.hint("merge"), "doc_id")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3))
-    counts = _count(both.where(fold != 0).select("text", "toxic")).toPandas()
-    toxic, ordinary, types = np.zeros(VOCABULARY), np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-    at = counts["bucket"].to_numpy(np.int64)
-    toxic[at], ordinary[at] = counts["toxic"], counts["ordinary"]
-    seen = sum(np.bitwise_count(counts[f"left{i}"].to_numpy(np.int64).view(np.uint64)).astype(np.float64) for i in range(NEIGHBOURS // 64)) if len(counts) else 0
-    # Linear counting: how many neighbours fill so many of the classes.
-    types[at] = NEIGHBOURS * np.log(NEIGHBOURS / np.maximum(0.5, NEIGHBOURS - seen)) if len(counts) else 0
-    plain = Model(log_ratio(toxic, ordinary, types), np.zeros(MEASURES), 0.0)
+    work = Workspace(docs.sparkSession, "toxicity")
+    counts = work.stage(_count(both.where(fold != 0).select("text", "toxic")), "counts")
+    plain = Model(log_ratios(counts), np.zeros(MEASURES), 0.0)
+    work.drop("counts")
+    # At most CALIBRATION_ROWS rows of an id and a flag, so small enough to broadcast.
     sample = usable.where(fold == 0).orderBy(F.xxhash64("doc_id"), "toxic").limit(CALIBRATION_ROWS)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 yield pa.RecordBatch.from_arrays([table.column(1).slice(a, b - a), *columns], names=["toxic", *[f"m{i}" for i in range(len(columns))]])
 
     schema = "toxic boolean, " + ", ".join(f"m{i} double" for i in range(MEASURES))
-    fitted = texts.join(sample, "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
+    fitted = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
     fitted = fitted.sort_values(list(fitted.columns))  # so that the sums below have one order
     weights, bias = _logistic(fitted.iloc[:, 1:].to_numpy(np.float64), fitted["toxic"].to_numpy(np.float64)) if len(fitted) else (plain.weights, 0.0)
     return Model(plain.ratio, weights, bias)
