@@ -4,7 +4,7 @@ Documents become ids plus an end id; only those longer than a sequence are cut,
 pieces and a rest. Pieces arrive in any order at a packer, which holds a fixed number of
 open bins in stacks by free space, with a bitset whose bit f says that a bin with f free
 places is open. The lowest set bit at or above a piece's length is the best fit. If none fits, a bin
-is opened; at the limit the fullest is closed first.
+is opened; at the limit the fullest is closed first. Arrivals are taken longest first within a short lookahead.
 
 Ids are staged once and never shuffled: a packer gets lengths and checksums only.
 """
@@ -23,6 +23,9 @@ from palimpsest.llm.tokenizing import WordEncoder, batches
 SEQUENCE = 2048
 END_ID = 0
 OPEN_BINS = 1024
+#: Arrivals that a packer holds and takes longest first; with about two for each open bin, short ones come
+#: when long ones have opened bins that they fill.
+LOOKAHEAD = 2000
 #: Pieces that one packer takes; with more, packers work side by side.
 PIECES_PER_PACKER = 400_000
 
@@ -130,12 +133,21 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
             out.clear()
             return found
 
-        for table in tables:
-            for item in zip(*(c.to_pylist() for c in table.columns)):
-                for closed in packer.add(item[4], item):
-                    close(closed)
-                if len(out) >= 20_000:
-                    yield flush()
+        def held() -> Iterator[tuple]:
+            waiting: list[tuple] = []
+            for table in tables:
+                for item in zip(*(c.to_pylist() for c in table.columns)):
+                    waiting.append(item)
+                    if len(waiting) == LOOKAHEAD:
+                        yield from sorted(waiting, key=lambda x: -x[4])
+                        waiting.clear()
+            yield from sorted(waiting, key=lambda x: -x[4])
+
+        for item in held():
+            for closed in packer.add(item[4], item):
+                close(closed)
+            if len(out) >= 20_000:
+                yield flush()
         for closed in packer.rest():
             close(closed)
         if out:
