@@ -159,8 +159,15 @@ class Linker:
         self.k = plan.estimate
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
+        self.found: DataFrame | None = None
         self.round = 0
 
+    def components(self) -> DataFrame:
+        """The components of the links so far; computed again only after new links."""
+        if self.found is None:
+            self.found = self.work.stage(components(self.links, self.work, f"rounds-{self.round}"), f"components-{self.round}")
+        return self.found
+
     def lists(self) -> DataFrame:
         """``value, node, n, hot, plain`` of the listed values that several nodes retain.
 
@@ -187,9 +194,7 @@ class Linker:
         """``lists`` with each member's component, without the lists of one component."""
         if self.links is None:
             return lists.withColumn("component", F.col("node"))
-        name = f"components-{self.round}"
-        found = components(self.links, self.work, name)
-        both = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        both = lists.join(self.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_lists = both.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
         return self.work.stage(both.join(open_lists, "value", "left_semi"), f"open-{self.round}")
 
@@ -309,7 +314,9 @@ class Linker:
         both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         linked = both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
         linked = self.work.stage(linked, f"links-{self.round}")
-        self.links = linked if self.links is None else self.links.unionByName(linked)
+        if self.links is None or linked.take(1):
+            self.links = linked if self.links is None else self.links.unionByName(linked)
+            self.found = None
         self.work.drop(f"sets-{self.round}", f"likely-{self.round}")
 
     def run(self) -> DataFrame:
@@ -319,7 +326,7 @@ class Linker:
             if self.links is not None and not lists.take(1):
                 break
             self.test(step(lists))
-        return components(self.links, self.work, "final")
+        return self.components()
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", percent: int = PERCENT, plan: Plan = DOCUMENTS) -> DataFrame:
