@@ -151,7 +151,7 @@ class Linker:
     """The rounds of one run over nodes (node, n, sketch).
 
     ``sets`` gives (node, shingles) of the nodes in a table's ``node`` column. ``native`` compares blocks by a join
-    with a condition in place of Arrow code.
+    with a condition in place of Arrow code, and makes the sets of all listed nodes at once, so texts are moved once.
     """
 
     def __init__(self, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], work: Workspace, percent: int, plan: Plan = DOCUMENTS, native: bool = False) -> None:
@@ -160,6 +160,7 @@ class Linker:
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.found: DataFrame | None = None
+        self.listed_sets: DataFrame | None = None
         self.round = 0
 
     def components(self) -> DataFrame:
@@ -308,8 +309,11 @@ class Linker:
         whole = 100 * overlap >= self.percent * F.size("u")
         passed = F.when(F.size("u") < self.k, whole).otherwise(overlap >= _least(self.k, self.percent))
         likely = self.work.stage(met.where(passed).select("a", "b", "na", "nb"), f"likely-{self.round}")
-        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        sets = self.work.stage(self.sets(ends), f"sets-{self.round}")
+        if self.listed_sets is not None:
+            sets = self.listed_sets
+        else:
+            ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+            sets = self.work.stage(self.sets(ends), f"sets-{self.round}")
         both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
         linked = both.where(100 * F.col("shared") >= self.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
@@ -321,6 +325,10 @@ class Linker:
 
     def run(self) -> DataFrame:
         lists = self.lists()
+        if self.native:
+            several = lists.groupBy("value").count().where("count > 1").select("value")
+            lists = self.work.stage(lists.join(several, "value", "left_semi"), "shared")
+            self.listed_sets = self.work.stage(self.sets(lists.select("node").distinct()), "sets")
         for step in (*[self.star] * STAR_ROUNDS, self.rest):
             lists = self.labelled(lists.select("value", "hot", "node", "n", "plain"))
             if self.links is not None and not lists.take(1):

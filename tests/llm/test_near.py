@@ -79,7 +79,7 @@ def test_lines(spark, odd, empty):
         for i, line in enumerate((r.text or "").split("\n")):
             body = line.strip(" \t\n\x0b\x0c\r").lower()
             if body:
-                lines[r.doc_id, i] = frozenset(body[m.start() : m.start() + 16] for m in re.finditer(r"(?<![^ \t-\r])[^ \t-\r]", body))
+                lines[r.doc_id, i] = frozenset(body[m.start() : m.start() + 24] for m in re.finditer(r"(?<![^ \t-\r])[^ \t-\r]", body))
     union = Union()
     names = sorted(lines)
     for i, a in enumerate(names):
