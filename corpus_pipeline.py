@@ -8,28 +8,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, language, near_dedup, packing, toxicity
 from palimpsest.llm.shared import Workspace
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ids; null ids are never rejected. Ids are few against texts, so Spark may broadcast them."""
-    bad = rejected.select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: rejected are texts without letters and ambiguous ones."""
-    found = language.predict(docs, language.train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == "und") | F.col("ambiguous")))
+    return language.keep(docs, language.train(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not call toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    return toxicity.keep(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.hashing import byte_groups
 from palimpsest.llm.shared import held_out
 
 #: Training rows of each language, and bytes of each: the documented bound of the fit.
@@ -181,6 +182,28 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return fit(texts, languages)
 
 
+def _judge(model: Model, texts: list[bytes], letters: list[bool]) -> tuple[list[str], list[float], list[str | None], list[bool]]:
+    """Language, score, second language and ambiguity of each text."""
+    names, scores = ["und"] * len(texts), [0.0] * len(texts)
+    seconds, flags = [None] * len(texts), [True] * len(texts)
+    known = [i for i, x in enumerate(letters) if x and model.languages]
+    for a, b in byte_groups([texts[i] for i in known]):
+        group = known[a:b]
+        order, share = model.decode(model.margins([texts[i] for i in group]))
+        for i, by, s in zip(group, order, share):
+            names[i], scores[i] = model.languages[by[0]], min(1.0, float(s[by[0]]))
+            flags[i] = False
+            if len(by) > 1:
+                seconds[i] = model.languages[by[1]]
+                flags[i] = bool(s[by[0]] - s[by[1]] < AMBIGUOUS)
+    return names, scores, seconds, flags
+
+
+def _inputs(text: str) -> list:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [body.cast("binary").alias("__text"), body.rlike(r"\p{L}").alias("__letter")]
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, second, ambiguous`` of every row of ``docs``, from its whole text alone.
 
@@ -190,29 +213,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            keys, texts, letters = (table.column(i).to_pylist() for i in range(3))
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            seconds, flags = [None] * len(texts), [True] * len(texts)
-            known = [i for i, x in enumerate(letters) if x and model.languages]
-            start, size, groups = 0, 0, []
-            for j, i in enumerate(known):
-                size += len(texts[i])
-                if size > 2_000_000:
-                    groups.append(known[start : j + 1])
-                    start, size = j + 1, 0
-            for group in [*groups, known[start:]]:
-                if not group:
-                    continue
-                order, share = model.decode(model.margins([texts[i] for i in group]))
-                for i, by, s in zip(group, order, share):
-                    names[i], scores[i] = model.languages[by[0]], min(1.0, float(s[by[0]]))
-                    flags[i] = False
-                    if len(by) > 1:
-                        seconds[i] = model.languages[by[1]]
-                        flags[i] = bool(s[by[0]] - s[by[1]] < AMBIGUOUS)
+            names, scores, seconds, flags = _judge(model, table.column(1).to_pylist(), table.column(2).to_pylist())
             arrays = [table.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(seconds, pa.string()), pa.array(flags, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "second", "ambiguous"])
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.cast("binary").alias("text"), body.rlike(r"\p{L}").alias("letter"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(text))
     return narrow.mapInArrow(run, _SCHEMA)
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language that is not ambiguous, with all their columns; nothing is shuffled."""
+    width = len(docs.columns)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            names, _, _, flags = _judge(model, table.column(width).to_pylist(), table.column(width + 1).to_pylist())
+            mask = pa.array([n != "und" and not f for n, f in zip(names, flags)], pa.bool_())
+            yield table.select(list(range(width))).filter(mask)
+
+    return docs.select("*", *_inputs(text)).mapInArrow(run, docs.schema)

@@ -208,3 +208,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns; nothing is shuffled."""
+    width = len(docs.columns)
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            texts = table.column(width).to_pylist()
+            found = np.concatenate([model.scores(texts[a:b]) for a, b in byte_groups(texts)] or [np.zeros(0)])
+            yield table.select(list(range(width))).filter(pa.array(found < THRESHOLD, pa.bool_()))
+
+    return docs.select("*", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(run, docs.schema)
