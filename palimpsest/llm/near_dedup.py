@@ -274,6 +274,9 @@ class Linker:
                     small = np.minimum(sizes, len(mine))
                     # Sketches that are whole sets share at least the threshold of the smaller one.
                     need = np.where(small < self_k, np.ceil(small * percent / 200), least)
+                    # Two whole sets share at least the threshold of the larger one.
+                    larger = np.maximum(n[right], n[i])
+                    need = np.where(larger <= self_k, np.ceil(larger * percent / 100), need)
                     fits = (shared >= need) & (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
                     out += [(min(node[i], node[j]), max(node[i], node[j])) for j in right[fits]]
             return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
