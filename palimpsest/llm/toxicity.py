@@ -33,7 +33,7 @@ DISCOUNT = 0.75
 #: Words of a passage, and sizes of the sets of a text's most toxic words, wherever they are.
 PASSAGES = (1, 5)
 WORST = (3,)
-#: Rows that fit the probability, a bound; none of them is counted by the models.
+#: Documents that fit the probability, a bound; they alone are not counted by the models.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 MEASURES = len(PASSAGES) + len(WORST) + 1
@@ -160,7 +160,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
-    """The two models from all labelled rows but the held-out ones and a third, which calibrates.
+    """The two models from all labelled rows but the held-out ones and those of the bounded sample that calibrates.
 
     Null labels and texts teach nothing. A document with several labels is counted with each.
     Without labels every score is one half.
@@ -169,15 +169,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     usable = usable.select("doc_id", (F.col("toxic") != 0).alias("toxic"))
     texts = docs.where(~held_out(F.col("doc_id")) & F.col(text).isNotNull())
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    # Always the same join, however few labels there are: it moves the texts that may teach, once.
-    both = texts.join(usable.hint("merge"), "doc_id")
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3))
     work = Workspace(docs.sparkSession, "toxicity")
-    counts = work.stage(_count(both.where(fold != 0).select("text", "toxic")), "counts")
+    # Ids alone, at most CALIBRATION_ROWS and of a third of all, so small enough to broadcast.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3))
+    sample = work.stage(usable.where(fold == 0).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "sample")
+    counted = usable.join(F.broadcast(sample), "doc_id", "left_anti")
+    # Always the same join, however few labels there are: it moves the texts that may teach, once.
+    both = texts.join(counted.hint("merge"), "doc_id")
+    counts = work.stage(_count(both.select("text", "toxic")), "counts")
     plain = Model(log_ratios(counts), np.zeros(MEASURES), 0.0)
     work.drop("counts")
-    # At most CALIBRATION_ROWS rows of an id and a flag, so small enough to broadcast.
-    sample = usable.where(fold == 0).orderBy(F.xxhash64("doc_id"), "toxic").limit(CALIBRATION_ROWS)
+    chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -187,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 yield pa.RecordBatch.from_arrays([table.column(1).slice(a, b - a), *columns], names=["toxic", *[f"m{i}" for i in range(len(columns))]])
 
     schema = "toxic boolean, " + ", ".join(f"m{i} double" for i in range(MEASURES))
-    fitted = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
+    fitted = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
     fitted = fitted.sort_values(list(fitted.columns))  # so that the sums below have one order
     weights, bias = _logistic(fitted.iloc[:, 1:].to_numpy(np.float64), fitted["toxic"].to_numpy(np.float64)) if len(fitted) else (plain.weights, 0.0)
     return Model(plain.ratio, weights, bias)
