@@ -8,8 +8,8 @@ backoff counts and says little, while an expression that only toxic documents us
 A document is scored by the toxic minus the ordinary log-likelihood for each word, as
 means over its passages, its most toxic words and the whole, and a logistic fit makes that a probability.
 
-Words are counted in a hashed vocabulary of fixed size, so the model is as large for
-any corpus; its counts cover all labelled documents.
+Words and pairs of neighbours are counted exactly, by 64-bit hash, in Spark aggregates that grow with the corpus. The
+ratios are a sorted table in files; every Python worker maps a local copy of it, so nothing of it passes the driver.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.hashing import byte_groups, hash_words, joined
 from palimpsest.llm.language import _FOLD
 from palimpsest.llm.shared import Workspace, held_out
+from palimpsest.llm.tables import Table
 
-#: Hashed vocabulary, and classes of left neighbours that are told apart.
-VOCABULARY = 1 << 20
-NEIGHBOURS = 256
 DISCOUNT = 0.75
 #: Words of a passage, and sizes of the sets of a text's most toxic words, wherever they are.
 PASSAGES = (1, 5)
@@ -38,90 +36,84 @@ CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 MEASURES = len(PASSAGES) + len(WORST) + 1
 
-_COUNTS = "bucket int, toxic long, ordinary long, " + ", ".join(f"left{i} long" for i in range(NEIGHBOURS // 64))
+_COUNTS = "before long, word long, toxic long, ordinary long"
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary numbers of all texts' words, and the text that each is in. Words are runs of letters, case aside."""
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all texts' words and of the word before each (0 at the start of a text), and the text that each is in.
+    Words are runs of letters, case aside."""
     data, starts = joined(texts)
     folded = _FOLD[data]
     hashes, at = hash_words(folded, folded != 32)
-    return (hashes % np.uint64(VOCABULARY)).astype(np.int64), np.searchsorted(starts, at, side="right") - 1
+    owner = np.searchsorted(starts, at, side="right") - 1
+    hashes = hashes.view(np.int64)
+    return hashes, np.where(np.diff(owner, prepend=-1) != 0, 0, np.roll(hashes, 1)), owner
 
 
 def _count(labelled: DataFrame) -> DataFrame:
-    """Class counts and left-neighbour bitmaps of each word of ``labelled`` (text, toxic)."""
+    """Class counts of each word after each left neighbour in ``labelled`` (text, toxic)."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, VOCABULARY), np.int64)
-        left = np.zeros((NEIGHBOURS // 64, VOCABULARY), np.uint64)
         for table in tables:
             texts, toxic = table.column(0).to_pylist(), np.array(table.column(1).to_pylist(), bool)
             for a, b in byte_groups(texts):
-                numbers, owner = words(texts[a:b])
-                is_toxic = toxic[a:b][owner]
-                for c, chosen in ((0, is_toxic), (1, ~is_toxic)):
-                    found, n = np.unique(numbers[chosen], return_counts=True)
-                    counts[c, found] += n
-                first = np.diff(owner, prepend=-1) != 0
-                before = np.where(first, 0, np.roll(numbers, 1) % (NEIGHBOURS - 1) + 1)
-                pairs = np.unique(numbers * NEIGHBOURS + before)
-                word, neighbour = pairs // NEIGHBOURS, pairs % NEIGHBOURS
-                for i in range(NEIGHBOURS // 64):
-                    here = neighbour // 64 == i
-                    np.bitwise_or.at(left[i], word[here], np.uint64(1) << (neighbour[here] % 64).astype(np.uint64))
-        found = np.flatnonzero(counts.sum(axis=0))
-        for a in range(0, len(found), 100_000):
-            f = found[a : a + 100_000]
-            columns = [f.astype(np.int32), counts[0, f], counts[1, f], *[x[f].view(np.int64) for x in left]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _COUNTS.split(", ")])
-
-    bits = [F.bit_or(f"left{i}").alias(f"left{i}") for i in range(NEIGHBOURS // 64)]
+                hashes, before, owner = words(texts[a:b])
+                if not len(hashes):
+                    continue
+                order = np.lexsort((hashes, before))
+                hashes, before, is_toxic = hashes[order], before[order], toxic[a:b][owner[order]]
+                first = np.flatnonzero((np.diff(hashes, prepend=hashes[0] + 1) != 0) | (np.diff(before, prepend=before[0]) != 0))
+                columns = [before[first], hashes[first], *(np.add.reduceat(x.astype(np.int64), first) for x in (is_toxic, ~is_toxic))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _COUNTS.split(", ")])
+
     sums = [F.sum(c).cast("long").alias(c) for c in ("toxic", "ordinary")]
-    return labelled.mapInArrow(run, _COUNTS).groupBy("bucket").agg(*sums, *bits)
+    return labelled.mapInArrow(run, _COUNTS).groupBy("before", "word").agg(*sums)
 
 
-def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) for every word of the vocabulary.
+@dataclass(frozen=True)
+class Ratios:
+    """log P(word | toxic) - log P(word | ordinary) of the words of ``found``, by hash; ``unseen`` of all others."""
 
-    Computed where the counts are; the driver gets one number for each word that occurs.
-    """
-    seen = sum((F.bit_count(f"left{i}") for i in range(1, NEIGHBOURS // 64)), F.bit_count("left0"))
-    # Linear counting: how many neighbours fill so many of the classes.
-    types = NEIGHBOURS * F.log(NEIGHBOURS / F.greatest(F.lit(0.5), F.lit(float(NEIGHBOURS)) - seen))
-    rows = counts.select("bucket", "toxic", "ordinary", (types + 0.5).alias("types"))
-    sums = [F.sum(c).alias(c) for c in ("toxic", "ordinary", "types")]
-    freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in ("toxic", "ordinary")]
-    total = rows.agg(F.count("*").alias("n"), *sums, *freed).first()
-    unseen = 0.5 * (VOCABULARY - total.n)
-    all_types = (total.types or 0) + unseen
+    found: Table
+    unseen: float
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.found.get(hashes, 0, self.unseen)
+
+
+def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -> Ratios:
+    """The ratios of all words that occur in ``counts`` (before, word, toxic, ordinary), computed where the counts are."""
+    classes = ("toxic", "ordinary")
+    rows = work.stage(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in classes], (F.count("*") + 0.5).alias("types")), "words")
+    sums = [F.sum(c).alias(c) for c in (*classes, "types")]
+    freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"{c}_freed") for c in classes]
+    total = rows.agg(*sums, *freed).first()
 
     def backoff(c: str) -> float:
         return total[f"{c}_freed"] / total[c] if total[c] else 1.0
 
     def probability(c: str):
         own = F.greatest(F.col(c) - discount, F.lit(0)) / total[c] if total[c] else F.lit(0)
-        return own + backoff(c) * F.col("types") / all_types
+        # Half a neighbour is every word's, one that does not occur too.
+        return own + backoff(c) * F.col("types") / ((total.types or 0) + 0.5)
 
-    found = rows.select("bucket", (F.log(probability("toxic")) - F.log(probability("ordinary"))).cast("float").alias("ratio")).toArrow()
-    out = np.full(VOCABULARY, np.log(backoff("toxic") / backoff("ordinary")), np.float32)
-    out[found.column("bucket").to_numpy()] = found.column("ratio").to_numpy()
-    return out
+    found = rows.select(F.col("word").alias("key"), (F.log(probability("toxic")) - F.log(probability("ordinary"))).cast("float").alias("ratio"))
+    return Ratios(Table.write(found, work, "ratios"), float(np.log(backoff("toxic") / backoff("ordinary"))))
 
 
 @dataclass(frozen=True)
 class Model:
-    """``ratio`` for each word of the vocabulary, and the logistic fit of the measures."""
+    """The words' ``ratios``, and the logistic fit of the measures."""
 
-    ratio: np.ndarray
+    ratios: Ratios
     weights: np.ndarray
     bias: float
 
     def measures(self, texts: list[bytes]) -> np.ndarray:
         """Length-normalised log-ratios of each text: its best passages, its most toxic words, and the
         whole. What is shorter than a passage or set counts as if ordinary words filled it up; without words, all 0."""
-        numbers, owner = words(texts)
-        each = self.ratio[numbers].astype(np.float64)
+        hashes, _, owner = words(texts)
+        each = self.ratios.of(hashes)
         out = np.zeros((len(texts), MEASURES))
         sizes = np.bincount(owner, minlength=len(texts))
         has = sizes > 0
@@ -177,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     # Always the same join, however few labels there are: it moves the texts that may teach, once.
     both = texts.join(counted.hint("merge"), "doc_id")
     counts = work.stage(_count(both.select("text", "toxic")), "counts")
-    plain = Model(log_ratios(counts), np.zeros(MEASURES), 0.0)
-    work.drop("counts")
+    plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
+    work.drop("counts", "words")
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     fitted = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
     fitted = fitted.sort_values(list(fitted.columns))  # so that the sums below have one order
     weights, bias = _logistic(fitted.iloc[:, 1:].to_numpy(np.float64), fitted["toxic"].to_numpy(np.float64)) if len(fitted) else (plain.weights, 0.0)
-    return Model(plain.ratio, weights, bias)
+    return Model(plain.ratios, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -2,8 +2,6 @@
 
 import zlib
 
-import numpy as np
-
 from palimpsest.llm import toxicity
 
 
@@ -32,3 +30,14 @@ def test_only_the_sample_is_not_counted(spark, monkeypatch):
     ids = usable(60)
     toxicity.train(*tables(spark, [(i, f"word{'abc'[i % 3]} here", i % 2) for i in ids]))
     assert seen == [59]
+
+
+def test_counts_are_exact(spark):
+    """Every word has a count of its own, and all its left neighbours count, beyond any fixed number of classes."""
+    text = " ".join(f"{a}{b}{c} every" for a in "bcdfghjklmnp" for b in "aeiouyvwxz" for c in "qrstbcdfghjklmnpvwxz")
+    counts = toxicity._count(spark.createDataFrame([(bytearray(text.encode()), True), (bytearray(b"every"), False)], "text binary, toxic boolean"))
+    rows = counts.collect()
+    every = toxicity.words([b"every"])[0][0]
+    assert len({r.word for r in rows}) == 2401
+    assert sum(r.word == every for r in rows) == 2401 and sum(r.toxic for r in rows if r.word == every) == 2400
+    assert sum(r.ordinary for r in rows) == 1
