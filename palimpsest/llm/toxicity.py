@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One word model for toxic and one for ordinary documents. Each discounts its own word counts and
-gives the freed mass to a backoff distribution that both share: how many different left neighbours
+One bigram model for toxic and one for ordinary documents. Each discounts its counts of a word after a context and
+gives the freed mass to its word model; that discounts its own word counts and gives the freed mass to a backoff
+distribution that both share: how many different left neighbours
 a word has in the whole labelled corpus. So a word that is rare in either class is judged by the same
-backoff counts and says little, while an expression that only toxic documents use says much.
+backoff counts and says little, while an expression that only toxic documents use says much, though each of its
+words be ordinary.
 
 A document is scored by the toxic minus the ordinary log-likelihood for each word, as
-means over its passages, its most toxic words and the whole, and a logistic fit makes that a probability.
+means over its passages, its most toxic words and the whole, by the bigrams and by the words alone, and a logistic fit makes that a probability.
 
 Words and pairs of neighbours are counted exactly, by 64-bit hash, in Spark aggregates that grow with the corpus. The
 ratios are a sorted table in files; every Python worker maps a local copy of it, so nothing of it passes the driver.
@@ -34,7 +36,9 @@ WORST = (3,)
 #: Documents that fit the probability, a bound; they alone are not counted by the models.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
-MEASURES = len(PASSAGES) + len(WORST) + 1
+#: Of each of the two levels, bigrams and words.
+LEVEL_MEASURES = len(PASSAGES) + len(WORST) + 1
+MEASURES = 2 * LEVEL_MEASURES
 
 _COUNTS = "before long, word long, toxic long, ordinary long"
 
@@ -70,19 +74,37 @@ def _count(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, _COUNTS).groupBy("before", "word").agg(*sums)
 
 
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of each pair of hashes; ``_pair_key`` makes the same of columns."""
+    b = before.view(np.uint64)
+    return ((b << np.uint64(1)) | (b >> np.uint64(63))).view(np.int64) ^ word
+
+
+def _pair_key():
+    return F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63)).bitwiseXOR(F.col("word"))
+
+
 @dataclass(frozen=True)
 class Ratios:
-    """log P(word | toxic) - log P(word | ordinary) of the words of ``found``, by hash; ``unseen`` of all others."""
+    """Log of P(word | before, toxic) / P(word | before, ordinary).
 
-    found: Table
+    ``words`` has ``ratio`` of each word alone, for others ``unseen``, and ``context``, the log ratio of the masses that
+    the two classes free after it. Where a pair of words does not occur its ratio is the sum of both; ``pairs`` has what the others differ from that by.
+    """
+
+    words: Table
+    pairs: Table
     unseen: float
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        return self.found.get(hashes, 0, self.unseen)
+    def alone(self, hashes: np.ndarray) -> np.ndarray:
+        return self.words.get(hashes, 0, self.unseen)
+
+    def after(self, before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return self.alone(hashes) + self.words.get(before, 1, 0.0) + self.pairs.get(pair_keys(before, hashes), 0, 0.0)
 
 
 def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -> Ratios:
-    """The ratios of all words that occur in ``counts`` (before, word, toxic, ordinary), computed where the counts are."""
+    """The ratios of all words and pairs that occur in ``counts`` (before, word, toxic, ordinary), computed where the counts are."""
     classes = ("toxic", "ordinary")
     rows = work.stage(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in classes], (F.count("*") + 0.5).alias("types")), "words")
     sums = [F.sum(c).alias(c) for c in (*classes, "types")]
@@ -97,8 +119,27 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
         # Half a neighbour is every word's, one that does not occur too.
         return own + backoff(c) * F.col("types") / ((total.types or 0) + 0.5)
 
-    found = rows.select(F.col("word").alias("key"), (F.log(probability("toxic")) - F.log(probability("ordinary"))).cast("float").alias("ratio"))
-    return Ratios(Table.write(found, work, "ratios"), float(np.log(backoff("toxic") / backoff("ordinary"))))
+    alone = rows.select("word", *[probability(c).alias(f"p_{c}") for c in classes])
+    in_context = [F.sum(c).alias(f"n_{c}") for c in classes]
+    left = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"left_{c}") for c in classes]
+    contexts = counts.groupBy("before").agg(*in_context, *left)
+    # A context that a class does not know leaves all its mass to the words.
+    contexts = work.stage(contexts.select("before", *[f"n_{c}" for c in classes], *[F.when(F.col(f"n_{c}") > 0, F.col(f"left_{c}") / F.col(f"n_{c}")).otherwise(1.0).alias(f"left_{c}") for c in classes]), "contexts")
+
+    def after(c: str):
+        own = F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - discount, F.lit(0)) / F.col(f"n_{c}")).otherwise(0.0)
+        return own + F.col(f"left_{c}") * F.col(f"p_{c}")
+
+    ratio, context = (F.log(F.col(f"{x}_toxic") / F.col(f"{x}_ordinary")) for x in ("p", "left"))
+    met = counts.join(contexts, "before").join(alone, "word")
+    differs = F.log(after("toxic")) - F.log(after("ordinary")) - ratio - context
+    pairs = met.select(_pair_key().alias("key"), differs.cast("float").alias("differs"))
+    both = alone.join(contexts.withColumnRenamed("before", "word"), "word", "full")
+    unseen = float(np.log(backoff("toxic") / backoff("ordinary")))
+    found = both.select(F.col("word").alias("key"), F.coalesce(ratio, F.lit(unseen)).cast("float").alias("ratio"), F.coalesce(context, F.lit(0.0)).cast("float").alias("context"))
+    out = Ratios(Table.write(found, work, "ratios"), Table.write(pairs, work, "pairs"), unseen)
+    work.drop("words", "contexts")
+    return out
 
 
 @dataclass(frozen=True)
@@ -112,8 +153,7 @@ class Model:
     def measures(self, texts: list[bytes]) -> np.ndarray:
         """Length-normalised log-ratios of each text: its best passages, its most toxic words, and the
         whole. What is shorter than a passage or set counts as if ordinary words filled it up; without words, all 0."""
-        hashes, _, owner = words(texts)
-        each = self.ratios.of(hashes)
+        hashes, before, owner = words(texts)
         out = np.zeros((len(texts), MEASURES))
         sizes = np.bincount(owner, minlength=len(texts))
         has = sizes > 0
@@ -121,16 +161,18 @@ class Model:
             return out
         first = (np.cumsum(sizes) - sizes)[has]
         size = sizes[has]
-        sums = np.concatenate(([0.0], np.cumsum(each)))
-        place = np.arange(len(each))
+        place = np.arange(len(hashes))
         end = np.repeat(first + size, size)
-        for i, width in enumerate(PASSAGES):
-            value = (sums[np.minimum(place + width, end)] - sums[place]) / width
-            out[has, i] = np.maximum.reduceat(value, first)
-        worst = np.concatenate(([0.0], np.cumsum(each[np.lexsort((-each, owner))])))
-        for i, n in enumerate(WORST, len(PASSAGES)):
-            out[has, i] = (worst[first + np.minimum(n, size)] - worst[first]) / n
-        out[has, -1] = (sums[first + size] - sums[first]) / size
+        for level, each in enumerate((self.ratios.after(before, hashes), self.ratios.alone(hashes))):
+            own = out[:, level * LEVEL_MEASURES : (level + 1) * LEVEL_MEASURES]
+            sums = np.concatenate(([0.0], np.cumsum(each)))
+            for i, width in enumerate(PASSAGES):
+                value = (sums[np.minimum(place + width, end)] - sums[place]) / width
+                own[has, i] = np.maximum.reduceat(value, first)
+            worst = np.concatenate(([0.0], np.cumsum(each[np.lexsort((-each, owner))])))
+            for i, n in enumerate(WORST, len(PASSAGES)):
+                own[has, i] = (worst[first + np.minimum(n, size)] - worst[first]) / n
+            own[has, -1] = (sums[first + size] - sums[first]) / size
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -170,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     both = texts.join(counted.hint("merge"), "doc_id")
     counts = work.stage(_count(both.select("text", "toxic")), "counts")
     plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
-    work.drop("counts", "words")
+    work.drop("counts")
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,3 +41,17 @@ def test_counts_are_exact(spark):
     assert len({r.word for r in rows}) == 2401
     assert sum(r.word == every for r in rows) == 2401 and sum(r.toxic for r in rows if r.word == every) == 2400
     assert sum(r.ordinary for r in rows) == 1
+
+
+def test_expressions_of_ordinary_words(spark):
+    """Two words that are each as common in either class are toxic only one after the other."""
+    filler = [f"f{c}" for c in "abcdefghijkl"]
+    rows = []
+    for n, i in enumerate(usable(400)):
+        a, b, *rest = (filler[(n * k) % 12] for k in (1, 5, 7, 11))
+        toxic = n % 2
+        middle = ["red", "dog"] if toxic else ["dog", a, "red"]
+        rows.append((i, " ".join([a, *middle, b, *rest]), toxic))
+    model = toxicity.train(*tables(spark, rows))
+    toxic, ordinary = scores(spark, model, ["fa red dog fb fc", "fa dog fb red fc"])
+    assert toxic > 0.7 and ordinary < 0.3
