@@ -21,15 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.hashing import byte_groups, hash_words, joined
+from palimpsest.llm.hashing import byte_groups, hash_words, joined, mix
 from palimpsest.llm.language import _FOLD
 from palimpsest.llm.shared import Workspace, held_out
 from palimpsest.llm.tables import Table
 
 DISCOUNT = 0.75
+#: Bytes of texts that are counted together before the counts are added up.
+COUNTED_BYTES = 8_000_000
+#: Last bits of a pair's key, which depend on both words; the first are the context's.
+KEY_BITS = 44
 #: Words of a passage, and sizes of the sets of a text's most toxic words, wherever they are.
 PASSAGES = (1, 5)
 WORST = (3,)
@@ -54,34 +58,34 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.where(np.diff(owner, prepend=-1) != 0, 0, np.roll(hashes, 1)), owner
 
 
-def _count(labelled: DataFrame) -> DataFrame:
-    """Class counts of each word after each left neighbour in ``labelled`` (text, toxic)."""
+def _count(texts: DataFrame, labels: Table) -> DataFrame:
+    """Class counts of each word after each left neighbour in ``texts`` (doc_id, text), in ranges of ``bucket``, a
+    context's first bits. ``labels`` has how often a document is labelled with each class."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            texts, toxic = table.column(0).to_pylist(), np.array(table.column(1).to_pylist(), bool)
-            for a, b in byte_groups(texts):
-                hashes, before, owner = words(texts[a:b])
+            ids = table.column(0).to_numpy()
+            weight = np.stack([labels.get(ids, i, 0.0) for i in (0, 1)]).astype(np.int64)
+            chosen = np.flatnonzero(weight.sum(axis=0))
+            weight, texts_ = weight[:, chosen], table.column(1).take(pa.array(chosen)).to_pylist()
+            for a, b in byte_groups(texts_, COUNTED_BYTES):
+                hashes, before, owner = words(texts_[a:b])
                 if not len(hashes):
                     continue
                 order = np.lexsort((hashes, before))
-                hashes, before, is_toxic = hashes[order], before[order], toxic[a:b][owner[order]]
+                hashes, before, each = hashes[order], before[order], weight[:, a:b][:, owner[order]]
                 first = np.flatnonzero((np.diff(hashes, prepend=hashes[0] + 1) != 0) | (np.diff(before, prepend=before[0]) != 0))
-                columns = [before[first], hashes[first], *(np.add.reduceat(x.astype(np.int64), first) for x in (is_toxic, ~is_toxic))]
+                columns = [before[first], hashes[first], *(np.add.reduceat(x, first) for x in each)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
-    sums = [F.sum(c).cast("long").alias(c) for c in ("toxic", "ordinary")]
-    return labelled.mapInArrow(run, _COUNTS).groupBy("before", "word").agg(*sums)
+    found = texts.mapInArrow(run, _COUNTS).withColumn("bucket", F.shiftright("before", KEY_BITS)).repartitionByRange("bucket")
+    return found.groupBy("bucket", "before", "word").agg(*[F.sum(c).cast("long").alias(c) for c in ("toxic", "ordinary")])
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One hash of each pair of hashes; ``_pair_key`` makes the same of columns."""
-    b = before.view(np.uint64)
-    return ((b << np.uint64(1)) | (b >> np.uint64(63))).view(np.int64) ^ word
-
-
-def _pair_key():
-    return F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63)).bitwiseXOR(F.col("word"))
+    """One hash of each pair of hashes, in the order of the context's first bits."""
+    low = np.int64((1 << KEY_BITS) - 1)
+    return (before & ~low) | ((mix(before.view(np.uint64)).view(np.int64) ^ word) & low)
 
 
 @dataclass(frozen=True)
@@ -119,27 +123,33 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
         # Half a neighbour is every word's, one that does not occur too.
         return own + backoff(c) * F.col("types") / ((total.types or 0) + 0.5)
 
-    alone = rows.select("word", *[probability(c).alias(f"p_{c}") for c in classes])
-    in_context = [F.sum(c).alias(f"n_{c}") for c in classes]
-    left = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"left_{c}") for c in classes]
-    contexts = counts.groupBy("before").agg(*in_context, *left)
-    # A context that a class does not know leaves all its mass to the words.
-    contexts = work.stage(contexts.select("before", *[f"n_{c}" for c in classes], *[F.when(F.col(f"n_{c}") > 0, F.col(f"left_{c}") / F.col(f"n_{c}")).otherwise(1.0).alias(f"left_{c}") for c in classes]), "contexts")
-
-    def after(c: str):
-        own = F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - discount, F.lit(0)) / F.col(f"n_{c}")).otherwise(0.0)
-        return own + F.col(f"left_{c}") * F.col(f"p_{c}")
-
     ratio, context = (F.log(F.col(f"{x}_toxic") / F.col(f"{x}_ordinary")) for x in ("p", "left"))
-    met = counts.join(contexts, "before").join(alone, "word")
-    differs = F.log(after("toxic")) - F.log(after("ordinary")) - ratio - context
-    pairs = met.select(_pair_key().alias("key"), differs.cast("float").alias("differs"))
-    both = alone.join(contexts.withColumnRenamed("before", "word"), "word", "full")
     unseen = float(np.log(backoff("toxic") / backoff("ordinary")))
-    found = both.select(F.col("word").alias("key"), F.coalesce(ratio, F.lit(unseen)).cast("float").alias("ratio"), F.coalesce(context, F.lit(0.0)).cast("float").alias("context"))
-    out = Ratios(Table.write(found, work, "ratios"), Table.write(pairs, work, "pairs"), unseen)
-    work.drop("words", "contexts")
-    return out
+    alone = rows.select("word", *[probability(c).alias(f"p_{c}") for c in classes])
+    contexts = counts.groupBy("bucket", "before").agg(
+        *[F.when(F.sum(c) > 0, F.sum(F.least(F.col(c), F.lit(discount))) / F.sum(c)).otherwise(1.0).alias(f"left_{c}") for c in classes]
+    )
+    both = alone.join(contexts.withColumnRenamed("before", "word"), "word", "full")
+    shown = [F.coalesce(ratio, F.lit(unseen)).alias("ratio"), F.coalesce(context, F.lit(0.0)).alias("context")]
+    shown += [F.coalesce(f"p_{c}", F.lit(0.0)).alias(f"p_{c}") for c in classes]
+    found = Table.write(both.select(F.col("word").alias("key"), *shown).select("key", *[F.col(c).cast("float").alias(c) for c in ("ratio", "context", "p_toxic", "p_ordinary")]), work, "ratios")
+
+    def differ(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            before, word, *numbers = (table.column(c).to_numpy() for c in ("before", "word", "toxic", "ordinary", "n_toxic", "n_ordinary", "left_toxic", "left_ordinary"))
+            after = []
+            for i in (0, 1):
+                n, in_all, left = numbers[i::2]
+                # A context that a class does not know leaves all its mass to the words.
+                freed = np.where(in_all > 0, left / np.maximum(in_all, 1), 1.0)
+                after.append(np.log(np.maximum(n - discount, 0) / np.maximum(in_all, 1) + freed * found.get(word, 2 + i, 1.0)))
+            differs = after[0] - after[1] - found.get(word, 0, unseen) - found.get(before, 1, 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)), pa.array(differs.astype(np.float32))], names=["key", "differs"])
+
+    one = Window.partitionBy("bucket", "before")
+    met = counts.withColumns({f"n_{c}": F.sum(c).over(one) for c in classes} | {f"left_{c}": F.sum(F.least(F.col(c), F.lit(discount)).cast("double")).over(one) for c in classes})
+    pairs = met.mapInArrow(differ, "key long, differs float")
+    return Ratios(found, Table.write(pairs, work, "pairs"), unseen)
 
 
 @dataclass(frozen=True)
@@ -201,18 +211,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     """
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     usable = usable.select("doc_id", (F.col("toxic") != 0).alias("toxic"))
-    texts = docs.where(~held_out(F.col("doc_id")) & F.col(text).isNotNull())
+    texts = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(text).isNotNull())
     texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     work = Workspace(docs.sparkSession, "toxicity")
     # Ids alone, at most CALIBRATION_ROWS and of a third of all, so small enough to broadcast.
     fold = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(3))
     sample = work.stage(usable.where(fold == 0).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS), "sample")
     counted = usable.join(F.broadcast(sample), "doc_id", "left_anti")
-    # Always the same join, however few labels there are: it moves the texts that may teach, once.
-    both = texts.join(counted.hint("merge"), "doc_id")
-    counts = work.stage(_count(both.select("text", "toxic")), "counts")
+    # Labels are looked up where the texts are scanned, so no text moves.
+    each = counted.groupBy(F.col("doc_id").cast("long").alias("key")).agg(*[F.count_if(F.col("toxic") == c).cast("float").alias(n) for n, c in (("toxic", True), ("ordinary", False))])
+    counts = work.stage(_count(texts, Table.write(each, work, "labels")), "counts")
     plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
-    work.drop("counts")
+    work.drop("counts", "words")
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

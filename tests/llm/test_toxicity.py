@@ -1,8 +1,11 @@
 """What the toxicity models count."""
 
+import random
 import zlib
 
 from palimpsest.llm import toxicity
+from palimpsest.llm.shared import Workspace
+from palimpsest.llm.tables import Table
 
 
 def usable(n):
@@ -25,17 +28,19 @@ def test_only_the_sample_is_not_counted(spark, monkeypatch):
     """With a sample of one document, every other labelled document's word is learnt."""
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 1)
     seen = []
-    count = toxicity._count
-    monkeypatch.setattr(toxicity, "_count", lambda labelled: seen.append(labelled.count()) or count(labelled))
+    ratios = toxicity.log_ratios
+    monkeypatch.setattr(toxicity, "log_ratios", lambda counts, work: seen.append(counts.selectExpr("sum(toxic + ordinary)").first()[0]) or ratios(counts, work))
     ids = usable(60)
     toxicity.train(*tables(spark, [(i, f"word{'abc'[i % 3]} here", i % 2) for i in ids]))
-    assert seen == [59]
+    assert seen == [2 * 59]
 
 
 def test_counts_are_exact(spark):
     """Every word has a count of its own, and all its left neighbours count, beyond any fixed number of classes."""
     text = " ".join(f"{a}{b}{c} every" for a in "bcdfghjklmnp" for b in "aeiouyvwxz" for c in "qrstbcdfghjklmnpvwxz")
-    counts = toxicity._count(spark.createDataFrame([(bytearray(text.encode()), True), (bytearray(b"every"), False)], "text binary, toxic boolean"))
+    texts = spark.createDataFrame([(1, bytearray(text.encode())), (2, bytearray(b"every"))], "doc_id long, text binary")
+    labels = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.0, 1.0)], "key long, toxic float, ordinary float")
+    counts = toxicity._count(texts, Table.write(labels, Workspace(spark, "test"), "labels"))
     rows = counts.collect()
     every = toxicity.words([b"every"])[0][0]
     assert len({r.word for r in rows}) == 2401
@@ -45,13 +50,11 @@ def test_counts_are_exact(spark):
 
 def test_expressions_of_ordinary_words(spark):
     """Two words that are each as common in either class are toxic only one after the other."""
-    filler = [f"f{c}" for c in "abcdefghijkl"]
+    rng, filler = random.Random(8), [f"f{c}" for c in "abcdefghijkl"]
     rows = []
     for n, i in enumerate(usable(400)):
-        a, b, *rest = (filler[(n * k) % 12] for k in (1, 5, 7, 11))
-        toxic = n % 2
-        middle = ["red", "dog"] if toxic else ["dog", a, "red"]
-        rows.append((i, " ".join([a, *middle, b, *rest]), toxic))
+        a, b, c, d = (rng.choice(filler) for _ in range(4))
+        rows.append((i, f"{a} red dog {b} {c} {d}" if n % 2 else f"{a} dog {b} red {c} {d}", n % 2))
     model = toxicity.train(*tables(spark, rows))
-    toxic, ordinary = scores(spark, model, ["fa red dog fb fc", "fa dog fb red fc"])
+    toxic, ordinary = scores(spark, model, ["fa red dog fb fc fd", "fa dog fb red fc fd"])
     assert toxic > 0.7 and ordinary < 0.3
