@@ -68,7 +68,7 @@ class Plan:
     plain: int = 24
     shared: int = 3
     mixed: float = 0.2
-    dominated: float = 0.62
+    dominated: float = (_least(128) - 1) / 128
     dominated_values: int = 24
 
 
