@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.hashing import byte_groups
 from palimpsest.llm.shared import held_out
 
-#: Training rows of each language, and bytes of each: the documented bound of the fit.
+#: Training rows of each language, whole: the documented bound of the fit.
 ROWS_PER_LANGUAGE = 1_500
-FIT_BYTES = 4_000
 #: Hashed n-gram features: of 1, 2, 3 bytes.
 BITS = 15
 #: Score difference of the best two languages below which a text is ambiguous.
@@ -115,7 +114,18 @@ class Model:
         return np.argsort(losses, axis=1, kind="stable"), share
 
 
-def fit(texts: list[bytes], languages: list[str], steps: int = 150, rate: float = 30.0, enough: float = 0.01) -> Model:
+def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur in a text, and how often."""
+    grams, _ = features([text])
+    return np.unique(grams[(grams[:, 1] != 32) | (grams[:, 0] != 32)], return_counts=True)
+
+
+def fit(texts: list[bytes], languages: list[str]) -> Model:
+    """``fit_counts`` of texts."""
+    return fit_counts([gram_counts(text) for text in texts], languages)
+
+
+def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], steps: int = 150, rate: float = 30.0, enough: float = 0.01) -> Model:
     """Fit every bit's classifier by gradient descent on mean n-gram counts, until its mean loss is ``enough`` or for ``steps`` steps.
 
     Languages weigh alike, however many rows each has. Without rows the model knows no language.
@@ -127,15 +137,13 @@ def fit(texts: list[bytes], languages: list[str], steps: int = 150, rate: float
         return Model((), code, np.zeros((size, 1), np.float32), np.zeros(1), np.ones(1))
     of = np.array([names.index(x) for x in languages])
     rows, cols, values = [], [], []
-    for i, text in enumerate(texts):
-        grams, _ = features([text])
-        found, n = np.unique(grams[(grams[:, 1] != 32) | (grams[:, 0] != 32)], return_counts=True)
+    for i, (found, n) in enumerate(counts):
         rows.append(np.full(len(found), i))
         cols.append(found.astype(np.int64))
         values.append(n / max(1, n.sum() / 3))
     row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     # Columns are scaled by the root of their mean, so rare n-grams learn as fast as common ones.
-    scale = 1 / np.sqrt(np.bincount(col, value, size) / len(texts) + 1e-4)
+    scale = 1 / np.sqrt(np.bincount(col, value, size) / len(counts) + 1e-4)
     value = value * scale[col]
     share = (1 / np.bincount(of))[of] / len(names)
     target = code[of]
@@ -143,7 +151,7 @@ def fit(texts: list[bytes], languages: list[str], steps: int = 150, rate: float
     weights, bias = np.zeros((size, bits)), np.zeros(bits)
     for b in range(bits):
         for _ in range(steps):
-            margin = np.bincount(row, value * weights[col, b], len(texts)) + bias[b]
+            margin = np.bincount(row, value * weights[col, b], len(counts)) + bias[b]
             wrong = target[:, b] * margin
             if (np.logaddexp(0, -wrong) * share).sum() < enough:
                 break
@@ -151,15 +159,15 @@ def fit(texts: list[bytes], languages: list[str], steps: int = 150, rate: float
             step = np.bincount(col, value * gradient[row], size)
             weights[:, b] -= rate * (step + 1e-5 * weights[:, b])
             bias[b] -= rate * 0.1 * gradient.sum()
-    margins = np.stack([np.bincount(row, value * weights[col, b], len(texts)) for b in range(bits)], axis=1) + bias
+    margins = np.stack([np.bincount(row, value * weights[col, b], len(counts)) for b in range(bits)], axis=1) + bias
     right = (((margins * target) > 0) * share[:, None]).sum(axis=0)
     trust = np.clip(2 * right - 1, 0.01, 1)
     return Model(names, code, (weights * scale[:, None]).astype(np.float32), bias, trust * bits / trust.sum())
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model from at most ROWS_PER_LANGUAGE rows of each language, the first by a hash of their id,
-    and of each its first FIT_BYTES bytes. Held-out rows, null languages and null texts teach nothing."""
+    """A model from at most ROWS_PER_LANGUAGE rows of each language, the first by a hash of their id.
+    Whole texts count, on the executors. Held-out rows, null languages and null texts teach nothing."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     hashed = usable.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
     # Each language's smallest hashes, found by a sample threshold: counts are aggregated, rows are not.
@@ -169,17 +177,25 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         keep = min(1.0, 1.2 * ROWS_PER_LANGUAGE / n)
         wanted = wanted | ((F.col(lang) == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1))
     found = usable.where(wanted).select(
-        F.col(lang).alias("lang"), F.substring(F.col(text).cast("binary"), 1, FIT_BYTES).alias("text"), F.xxhash64("doc_id").alias("h")
+        F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), F.md5(F.col(text).cast("binary")).alias("digest"), F.col(text).cast("binary").alias("text")
     )
-    rows = found.orderBy("h", "text").limit(2 * ROWS_PER_LANGUAGE * max(1, len(counts))).collect()
+
+    def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            each = [gram_counts(t) for t in table.column(3).to_pylist()]
+            columns = [pa.array([x[i] for x in each], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*table.columns[:3], *columns], names=["lang", "h", "digest", "grams", "n"])
+
+    counted = found.mapInArrow(run, "lang string, h long, digest string, grams array<int>, n array<long>")
+    rows = counted.orderBy("h", "digest").limit(2 * ROWS_PER_LANGUAGE * max(1, len(counts))).toArrow()
     taken: dict[str, int] = {}
-    texts, languages = [], []
-    for r in rows:
-        if taken.get(r.lang, 0) < ROWS_PER_LANGUAGE:
-            taken[r.lang] = taken.get(r.lang, 0) + 1
-            texts.append(bytes(r.text))
-            languages.append(r.lang)
-    return fit(texts, languages)
+    chosen, languages = [], []
+    for i, name in enumerate(rows.column("lang").to_pylist()):
+        if taken.get(name, 0) < ROWS_PER_LANGUAGE:
+            taken[name] = taken.get(name, 0) + 1
+            chosen.append(tuple(rows.column(c)[i].values.to_numpy() for c in ("grams", "n")))
+            languages.append(name)
+    return fit_counts(chosen, languages)
 
 
 def _judge(model: Model, texts: list[bytes], letters: list[bool]) -> tuple[list[str], list[float], list[str | None], list[bool]]:
