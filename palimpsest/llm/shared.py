@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +21,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``. Only where the session leaves that unset, as in
-    tests on one machine, a temporary folder of this process takes its place.
+    It is ``spark.checkpoint.dir``. Where a session on one machine leaves that unset, as in
+    tests, a temporary folder of this process takes its place; on a cluster there is none.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(f"file://{tempfile.mkdtemp(prefix='palimpsest-')}")
     return _own_dir[0]
@@ -64,6 +68,34 @@ class Workspace:
             at.getFileSystem(conf).delete(at, True)
 
 
+def system_memory() -> None:
+    """From now on Arrow takes this worker's memory from the system, which can have it back."""
+    import pyarrow
+
+    pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system: Python workers live on and would keep it beside the next stage's."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function for mapInArrow, in a worker that keeps no memory after the task."""
+
+    def wrapped(tables: Iterator) -> Iterator:
+        system_memory()
+        yield from run(tables)
+        hand_back()
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once; a lambda variable keeps the
     optimizer from copying the expression into every use."""
@@ -80,6 +112,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is not among ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys that are joined by broadcast hold more than one in so many of all rows each, so there are no more of them.
+HEAVY_KEYS = 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, whose ``on`` is unique and whose ``count`` says how many rows of ``left`` have it.
+
+    ``total`` is the sum of the counts, so that at most HEAVY_KEYS keys hold more than a share of 1 / HEAVY_KEYS of all rows. These
+    go to the rows by broadcast, a table of proven size; the others meet by shuffle, none of them in a large group. ``count`` is dropped.
+    """
+    heavy = F.col(count) > max(1_000, total / HEAVY_KEYS)
+    big, small = right.where(heavy).drop(count), right.where(~heavy).drop(count)
+    met = left.join(F.broadcast(big), on)
+    others = left.join(F.broadcast(big.select(on)), on, "left_anti")
+    return met.unionByName(others.join(small, on))
+
+
 def rows_in(df: DataFrame) -> int:
     """Row count; of a staged Parquet table a matter of its footers."""
     return df.count()

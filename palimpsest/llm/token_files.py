@@ -16,6 +16,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, qualified
-from palimpsest.llm.tokenizing import WordEncoder, batches
+from palimpsest.llm.shared import Workspace, lean, qualified
+from palimpsest.llm.tokenizing import KEPT_PIECES, WordEncoder, batches
 
 END_ID = 2
 MAGIC = b"PLMPTOK1"
@@ -39,7 +40,7 @@ _FOOTER = "<QQQ32s8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("offset", "<u8"), ("before", "<u8")])
 _MANIFEST = "shard int, name string, n_docs long, n_tokens long, n_bytes long"
-_READ = "doc_id long, shard int, before long, n_tokens long, ids binary"
+_READ = "doc_id long, shard int, start long, n_tokens long, ids binary"
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -89,17 +90,16 @@ class TokenFile:
 def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], dictionary: bytes, level: int = 3) -> tuple[int, int, int]:
     """Write documents in the order given; returns documents, ids and bytes.
 
-    The file appears under its name only when whole, so a task that is run again,
-    or twice at once, leaves the same file.
+    A task that is run again, or twice at once, must write under another name each time; readers take the
+    name that the manifest has.
     """
     import zstandard
 
     used = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     packer = zstandard.ZstdCompressor(level=level, dict_data=used)
     system, path = _filesystem(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
     index, at, before = [], 0, 0
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(path) as out:
         for key, ids in docs:
             frame = packer.compress(ids)
             index.append((key or 0, key is None, at, before))
@@ -109,7 +109,6 @@ def write_file(uri: str, docs: Iterator[tuple[int | None, bytes]], dictionary: b
         packed = np.array(index, _INDEX).tobytes()
         out.write(packed)
         out.write(struct.pack(_FOOTER, len(index), before, at, hashlib.sha256(dictionary).digest(), MAGIC))
-    system.move(part, path)
     return len(index), before, at + len(packed) + _FOOTER_BYTES
 
 
@@ -129,9 +128,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text: str = "t
                 lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
                 packed = pa.array([pack(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lengths, packed], names=["doc_id", "n_tokens", "packed"])
+        encoder.forget(KEPT_PIECES)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, packed binary")
+    return narrow.mapInArrow(lean(run), "doc_id long, n_tokens long, packed binary")
 
 
 def train_dictionary(encoded: DataFrame) -> bytes:
@@ -180,11 +180,13 @@ def write(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "tex
             return
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
-            yield from zip(first.column(0).to_pylist(), map(unpack, first.column(1).to_pylist()))
-            for table in tables:
-                yield from zip(table.column(0).to_pylist(), map(unpack, table.column(1).to_pylist()))
+            for table in chain([first], tables):
+                for at in range(0, len(table), 1000):
+                    part = table.slice(at, 1000)
+                    yield from zip(part.column(0).to_pylist(), map(unpack, part.column(1).to_pylist()))
 
-        name = f"shard-{shard:05d}.bin"
+        # A name for each try: only the one that the committed manifest has is ever read.
+        name = f"shard-{shard:05d}-{uuid.uuid4().hex}.bin"
         made = write_file(f"{folder}/{name}", rows(), dictionary)
         if made[0]:
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
@@ -194,7 +196,7 @@ def write(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "tex
     # Equal ids may be many, so the ranges go by the tokens too.
     ordered = encoded.select("doc_id", "packed", F.xxhash64("packed").alias("tie")).repartitionByRange(files, "doc_id", "tie")
     ordered = ordered.sortWithinPartitions("doc_id", "tie", "packed").select("doc_id", "packed")
-    manifest = work.stage(ordered.mapInArrow(run, _MANIFEST), "manifest")
+    manifest = work.stage(ordered.mapInArrow(lean(run), _MANIFEST), "manifest")
     work.drop("encoded")
     return manifest, folder, dictionary
 
@@ -203,15 +205,16 @@ def read(manifest: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
     """All documents of the files: ``doc_id, shard, start, n_tokens, ids``, with ``start`` the
     ids of all documents before it in all files."""
 
+    names = [x.split()[0] for x in _READ.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _READ.split(", ")]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for table in tables:
-            for shard, name in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
+            for shard, name, first in zip(*(c.to_pylist() for c in table.columns)):
                 with TokenFile(f"{folder}/{name}", dictionary) as found:
                     out, size = [], 0
                     for key, before, ids in found.documents():
-                        out.append((key, shard, before, len(ids) // 4, ids))
+                        out.append((key, shard, first + before, len(ids) // 4, ids))
                         size += len(ids)
                         if size > 4_000_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -219,9 +222,7 @@ def read(manifest: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    # The manifest has a row a file, so its running sum is small whatever the corpus.
+    # The manifest has a row a file, so its running sum is small whatever the corpus; it goes to the readers with the names.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
-    files = manifest.count()
-    found = manifest.select("shard", "name").repartition(max(1, files)).mapInArrow(run, _READ)
-    return found.join(firsts, "shard").select("doc_id", "shard", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids")
+    files = manifest.select("shard", "name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
+    return files.repartition(max(1, manifest.count())).mapInArrow(lean(run), _READ)

@@ -8,6 +8,9 @@ The tokenizers library loads the file, normalizes, and encodes every piece that
 letter beyond the Armenian block. Other pieces, by far the most, get the same
 merges from tiktoken's faster routine, built from the vocabulary that the library loaded.
 
+So most ids are not the library's own output, though equal to it: the library alone takes too long (see the README).
+A text that holds an added token's string goes to the library as it is.
+
 Why the cuts are safe. The byte-level pattern lets a match start with one space and end before
 white space, or be a run of white space that leaves its last character to a following
 word. So there is always a boundary between a non-space and a space, and before a space that a
@@ -23,6 +26,7 @@ import re
 import sys
 import types
 from array import array
+from collections.abc import Callable
 
 #: Unicode's White_Space, which the tokenizers' patterns call \s.
 _SPACES = "\t-\r \x85\xa0  -     　"
@@ -32,8 +36,8 @@ _PIECE = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Control characters, and what lies beyond the Armenian block.
-_RARE = re.compile("[\\x00-\\x1f\\x7f-\\x9f\u0590-\U0010ffff]")
+#: Control characters but the line feed, and what lies beyond the Armenian block.
+_RARE = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\x9f\u0590-\U0010ffff]")
 #: A byte that no UTF-8 text holds: in merges it stands for the end of a word.
 _WORD_END = b"\xff"
 
@@ -56,25 +60,41 @@ def merge_ranks(tokenizer) -> dict[bytes, int]:
     return ranks
 
 
+#: Pieces that an encoder may remember from one task to the next.
+KEPT_PIECES = 100_000
+
+
+class _Known(dict):
+    """Ids of pieces, learnt when first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = found = self._learn(piece)
+        return found
+
+
 class WordEncoder:
     """Texts to ids (little-endian unsigned 32-bit bytes).
 
-    ``drops_space`` says that the tokenizer drops white space. ``cache_pieces`` bounds the cache: when
-    full it starts anew, so memory does not grow with the vocabulary of the corpus.
+    ``drops_space`` says that the tokenizer drops white space. ``cache_pieces`` bounds the cache between
+    batches: when full it starts anew, so memory does not grow with the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, drops_space: bool, cache_pieces: int = 500_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cache_pieces: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._drops_space = drops_space
         self._limit = cache_pieces
-        self._known: dict[str, bytes] = {}
+        self._known = _Known(self._learn_word if drops_space else self._learn_bytes)
         model = json.loads(self._tokenizer.to_str())
+        self._special = [x["content"] for x in model["added_tokens"]]
         if drops_space:
             pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
             self._words = regex.compile(pattern).findall
@@ -84,12 +104,17 @@ class WordEncoder:
 
     @classmethod
     def shared(cls, path: str, drops_space: bool) -> "WordEncoder":
-        """The encoder of this Python process, whose cache outlives a task."""
+        """The encoder of this Python process; loading one takes long."""
         kept = sys.modules.setdefault("_palimpsest_encoders", types.ModuleType("_palimpsest_encoders")).__dict__
         if (path, drops_space) not in kept:
             kept[path, drops_space] = cls(path, drops_space)
         return kept[path, drops_space]
 
+    def forget(self, pieces: int = 0) -> None:
+        """Empty the cache if it holds more pieces than that."""
+        if len(self._known) > pieces:
+            self._known.clear()
+
     def pieces(self, text: str) -> list[str]:
         if self._drops_space:
             return text.replace("\n", " ").split(" ")
@@ -99,41 +124,31 @@ class WordEncoder:
         return [first, *[" " + x for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        known, join = self._known, b"".join
-        new = list(set().union(*cut).difference(known)) if cut else []
-        if len(known) + len(new) > self._limit:
-            known.clear()
-            new = list(set().union(*cut))
-        self._learn(new)
-        get = known.__getitem__
-        return [join(map(get, x)) for x in cut]
-
-
-    def _learn(self, pieces: list[str]) -> None:
-        known, rare = self._known, []
-        usual = []
-        for piece in pieces:
-            (rare if _RARE.search(piece) else usual).append(piece)
-        if self._drops_space:
-            single, words = self._merges.encode_single_piece, self._words
-            for at in range(0, len(usual), 10_000):
-                part = usual[at : at + 10_000]
-                # The separator is no space and no letter, so the normalizer leaves it and its sides alone.
-                for piece, plain in zip(part, self._tokenizer.normalizer.normalize_str("\0".join(part)).split("\0")):
-                    ids = [i for word in words(plain) for i in single(word.encode() + _WORD_END)]
-                    known[piece] = array("I", ids).tobytes()
-        else:
-            encode = self._merges.encode_ordinary
-            for piece in usual:
-                known[piece] = array("I", encode(piece)).tobytes()
-        for at in range(0, len(rare), 10_000):
-            part = rare[at : at + 10_000]
-            for piece, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = array("I", found.ids).tobytes()
-
-
-def batches(texts: list[str], chars: int = 4_000_000):
+        self.forget(self._limit)
+        get, join, special = self._known.__getitem__, b"".join, self._special
+        # An added token's string in a text is that token, wherever it stands: such texts go to the library whole.
+        return [self._library(t) if any(x in t for x in special) else join(map(get, self.pieces(t))) for t in texts]
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn_bytes(self, piece: str) -> bytes:
+        if _RARE.search(piece):
+            return self._library(piece)
+        if piece[1:].isalpha() and piece[0] == " ":  # one pre-token
+            return array("I", self._merges.encode_single_piece(piece.encode())).tobytes()
+        return array("I", self._merges.encode_ordinary(piece)).tobytes()
+
+    def _learn_word(self, piece: str) -> bytes:
+        if _RARE.search(piece):
+            return self._library(piece)
+        plain = piece.lower() if piece.isascii() else self._tokenizer.normalizer.normalize_str(piece)
+        words = [plain] if plain.isalpha() else self._words(plain)
+        single = self._merges.encode_single_piece
+        return array("I", [i for word in words for i in single(word.encode() + _WORD_END)]).tobytes()
+
+
+def batches(texts: list[str], chars: int = 2_000_000):
     """Index ranges of texts, each of about ``chars`` characters at most, or one text."""
     start = total = 0
     for i, t in enumerate(texts):

@@ -22,7 +22,6 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def library(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -95,8 +94,9 @@ def test_byte_bpe(spark, request, table):
     df = request.getfixturevalue(table)
     encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
     wanted = Counter((r.doc_id, pack32(encoding.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in df.select("doc_id", "text").collect())
-    found = byte_bpe.decode(byte_bpe.encode(df, spark, RANKS, public_tokenizers.PATTERN), RANKS).collect()
-    assert Counter((r.doc_id, bytes(r.ids), bytes(r.text_bytes)) for r in found) == wanted and all(len(r.ids) == 4 * r.n_tokens for r in found)
+    for both in (byte_bpe.encode(df, spark, RANKS, public_tokenizers.PATTERN, decoded=True), byte_bpe.decode(byte_bpe.encode(df, spark, RANKS, public_tokenizers.PATTERN), RANKS)):
+        found = both.collect()
+        assert Counter((r.doc_id, bytes(r.ids), bytes(r.text_bytes)) for r in found) == wanted and all(len(r.ids) == 4 * r.n_tokens for r in found)
 
 
 @pytest.mark.parametrize("table", ["docs", "odd"])
@@ -124,7 +124,7 @@ def test_token_files(spark, request, table, monkeypatch):
 
 def test_empty_tables(spark, empty):
     assert packing.pack(empty, spark, WORDS).count() == 0
-    assert byte_bpe.encode(empty, spark, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.decode(byte_bpe.encode(empty, spark, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     assert token_files.read(*token_files.write(empty, spark, BYTES)).count() == 0
 
 
