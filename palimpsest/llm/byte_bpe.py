@@ -23,14 +23,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, qualified
+from palimpsest.llm.shared import Workspace, hand_back, lean, qualified, system_memory
 from palimpsest.llm.tokenizing import _LOOSE_SPACE, _PIECE, batches
 
 #: Characters of a block of documents; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Pieces whose cut into pre-tokens, and words whose ids, a task remembers.
-KNOWN_PIECES = 200_000
-KNOWN_WORDS = 400_000
+KNOWN_PIECES = 150_000
+KNOWN_WORDS = 200_000
 
 _BLOCKS = "block string, bucket int, words binary"
 _ENCODED = "block string, bucket int, ids binary"
@@ -85,12 +85,9 @@ def _unpack(packed: bytes) -> list[bytes]:
 
 
 def _write(folder: str, name: str, data: bytes) -> None:
-    """A file that appears when whole."""
     system, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(path) as out:
         out.write(data)
-    system.move(part, path)
 
 
 def _read(folder: str, name: str) -> bytes:
@@ -108,14 +105,16 @@ def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFra
         from pyspark import TaskContext
 
         compiled = regex.compile(pattern)
-        task, n = TaskContext.get().partitionId(), 0
+        task = TaskContext.get().partitionId()
         for table in tables:
             keys, texts = table.column(0).to_pylist(), table.column(1).to_pylist()
             for a, b in batches(texts, BLOCK_CHARS):
                 words, streams = number_words(texts[a:b], compiled)
                 encoded = [w.encode() for w in words]
                 of = np.array([zlib.crc32(w) % buckets for w in encoded], np.int64)
-                order = np.argsort(of, kind="stable")
+                # By bucket, in order of the words: neighbours are alike and pack well.
+                order = np.array(sorted(range(len(words)), key=encoded.__getitem__), np.int64)
+                order = order[np.argsort(of[order], kind="stable")]
                 place = np.empty(len(words), "<i4")
                 place[order] = np.arange(len(words), dtype="<i4")
                 numbers = place[np.frombuffer(b"".join(streams), "<i4")]
@@ -123,8 +122,8 @@ def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFra
                 planes = np.frombuffer(numbers.tobytes(), np.uint8).reshape(-1, 4).T.tobytes()
                 nulls = [k is None for k in keys[a:b]]
                 head = [np.array([k or 0 for k in keys[a:b]], "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), np.array([len(s) // 4 for s in streams], "<i8").tobytes()]
-                block = f"{task:06d}-{n:06d}"
-                n += 1
+                # A name for each try: only those that the committed table of words has are ever read.
+                block = f"{task:06d}-{uuid.uuid4().hex}"
                 _write(folder, block, _pack([*head, zstandard.ZstdCompressor(level=3).compress(planes)]))
                 bounds = np.searchsorted(of[order], np.arange(buckets + 1))
                 some = [i for i in range(buckets) if bounds[i] < bounds[i + 1] or i == 0]
@@ -132,7 +131,7 @@ def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "words"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, _BLOCKS)
+    return narrow.mapInArrow(lean(run), _BLOCKS)
 
 
 def _encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -155,14 +154,26 @@ def _encode_words(words: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 out.append(_pack([known[word] for word in found]))
             yield pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
-    return words.mapInArrow(run, _ENCODED)
+    return words.mapInArrow(lean(run), _ENCODED)
 
 
-def _reassemble(folder: str):
+def _token_bytes(ranks: str) -> list[bytes]:
+    """The token-byte table: the bytes of each id."""
+    found = load_ranks(ranks)
+    table = [b""] * (max(found.values(), default=-1) + 1)
+    for token, rank in found.items():
+        table[rank] = token
+    return table
+
+
+def _reassemble(folder: str, ranks: str | None):
+    tables: list[list[bytes]] = []
+
     def run(table: pa.Table) -> pa.Table:
         """One block: the ids of its words, by bucket, for the documents of its stream."""
         import zstandard
 
+        system_memory()
         packed = sorted(zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist()))
         parts = [ids for _, x in packed for ids in _unpack(x)]
         keys, nulls, lengths, planes = _unpack(_read(folder, table.column("block")[0].as_py()))
@@ -171,14 +182,27 @@ def _reassemble(folder: str):
         for length in np.frombuffer(lengths, "<i8").tolist():
             out.append(b"".join(map(parts.__getitem__, numbers[at : at + length].tolist())))
             at += length
+        del parts, numbers, packed
         ids = pa.array(np.frombuffer(keys, "<i8"), pa.int64(), mask=np.frombuffer(nulls, np.uint8).astype(bool))
-        return pa.table({"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+        columns = {"doc_id": ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())}
+        if ranks is not None:
+            if not tables:
+                tables.append(_token_bytes(ranks))
+            columns["text_bytes"] = pa.array([_decoded(x, tables[0]) for x in out], pa.binary())
+        del out
+        hand_back()
+        return pa.table(columns)
 
     return run
 
 
-def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers.
+def _decoded(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers. ``decoded`` adds ``decode``'s
+    ``text_bytes``, where the documents are put together.
 
     Null and empty texts have no ids; repeated rows are encoded each; an empty table gives no
     rows; other columns are not read.
@@ -191,18 +215,18 @@ def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str) -> Da
     words = work.stage(_blocks(docs, pattern, folder, buckets), "words")
     encoded = _encode_words(words.repartition(buckets, "bucket"), ranks, pattern)
     # Blocks hold a bounded amount of text, so a block is a group that fits one task.
-    return encoded.groupBy("block").applyInArrow(_reassemble(folder), _DOCS)
+    schema = f"{_DOCS}, text_bytes binary" if decoded else _DOCS
+    return encoded.groupBy("block").applyInArrow(_reassemble(folder, ranks if decoded else None), schema)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """``encoded`` with ``text_bytes``, the joined bytes of its ids. The token-byte table is the
-    vocabulary, a file of fixed size, and is read once a task."""
+    """``encoded`` with ``text_bytes``, the joined bytes of its ids; of null ids, null. The token-byte table is the
+    vocabulary, a file of fixed size, and is read once a task. Columns besides ``encode``'s are not read; an empty table gives no rows."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_bytes = {rank: token for token, rank in load_ranks(ranks).items()}
-        lookup = table_bytes.__getitem__
+        table_bytes = _token_bytes(ranks)
         for table in tables:
-            out = [b"".join(map(lookup, np.frombuffer(x, "<u4").tolist())) for x in table.column("ids").to_pylist()]
+            out = [None if x is None else _decoded(x, table_bytes) for x in table.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*table.columns, pa.array(out, pa.binary())], names=[*table.schema.names, "text_bytes"])
 
-    return encoded.mapInArrow(run, f"{_DOCS}, text_bytes binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lean(run), f"{_DOCS}, text_bytes binary")

@@ -28,11 +28,11 @@ def op2_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.near_lines(_documents(spark, sf_dir), spark)
+    return line_dedup.near_lines(_documents(spark, sf_dir), spark).drop("row")
 
 
 def op4_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_documents(spark, sf_dir), spark).drop("row")
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), spark).drop("row", "component")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op6_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir), spark, ranks, pattern), ranks)
+    both = byte_bpe.encode(_documents(spark, sf_dir), spark, ranks, pattern, decoded=True)
     return both.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256")
     )
