@@ -4,7 +4,7 @@ Documents become ids plus an end id; only those longer than a sequence are cut,
 pieces and a rest. Pieces arrive in any order at a packer, which holds a fixed number of
 open bins in stacks by free space, with a bitset whose bit f says that a bin with f free
 places is open. The lowest set bit at or above a piece's length is the best fit. If none fits, a bin
-is opened; at the limit the fullest is closed first. Arrivals are taken longest first within a short lookahead.
+is opened; at the limit the fullest is closed first.
 
 Ids are staged once and never shuffled: a packer gets lengths and checksums only.
 """
@@ -17,15 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Workspace, rows_in
-from palimpsest.llm.tokenizing import WordEncoder, batches
+from palimpsest.llm.shared import Workspace, lean, rows_in
+from palimpsest.llm.tokenizing import KEPT_PIECES, WordEncoder, batches
 
 SEQUENCE = 2048
 END_ID = 0
 OPEN_BINS = 1024
-#: Arrivals that a packer holds and takes longest first; with about two for each open bin, short ones come
-#: when long ones have opened bins that they fill.
-LOOKAHEAD = 2000
 #: Pieces that one packer takes; with more, packers work side by side.
 PIECES_PER_PACKER = 400_000
 
@@ -99,13 +96,14 @@ def tokenize(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 names = ("row", "doc_id", "piece", "start", "length", "ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=list(names))
+        encoder.forget(KEPT_PIECES)
 
     narrow = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    return narrow.mapInArrow(run, _PIECES)
+    return narrow.mapInArrow(lean(run), _PIECES)
 
 
 def place(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS, per_packer: int = PIECES_PER_PACKER) -> DataFrame:
@@ -133,17 +131,7 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
             out.clear()
             return found
 
-        def held() -> Iterator[tuple]:
-            waiting: list[tuple] = []
-            for table in tables:
-                for item in zip(*(c.to_pylist() for c in table.columns)):
-                    waiting.append(item)
-                    if len(waiting) == LOOKAHEAD:
-                        yield from sorted(waiting, key=lambda x: -x[4])
-                        waiting.clear()
-            yield from sorted(waiting, key=lambda x: -x[4])
-
-        for item in held():
+        for item in (item for table in tables for item in zip(*(c.to_pylist() for c in table.columns))):
             for closed in packer.add(item[4], item):
                 close(closed)
             if len(out) >= 20_000:
@@ -154,7 +142,7 @@ def place(pieces: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BIN
             yield flush()
 
     packers = max(1, -(-rows_in(pieces) // per_packer))
-    return pieces.repartition(packers).mapInArrow(run, _PLACED)
+    return pieces.repartition(packers).mapInArrow(lean(run), _PLACED)
 
 
 def pack(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "text") -> DataFrame:
@@ -172,7 +160,10 @@ def packed(docs: DataFrame, spark: SparkSession, tokenizer: str, text: str = "te
     work = Workspace(spark, "packing")
     pieces = work.stage(tokenize(docs, tokenizer, text), "pieces")
     narrow = work.stage(pieces.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "lengths")
-    return place(narrow), pieces
+    # Arrivals come in any order, so one packing is written and everybody reads that one.
+    places = work.stage(place(narrow), "places")
+    work.drop("lengths")
+    return places, pieces
 
 
 def sequences(places: DataFrame, pieces: DataFrame) -> DataFrame:

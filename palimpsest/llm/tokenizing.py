@@ -93,6 +93,8 @@ class WordEncoder:
         self._drops_space = drops_space
         self._limit = cache_pieces
         self._known = _Known(self._learn_word if drops_space else self._learn_bytes)
+        #: Of pieces without the one space before them, so that it need not be put back in a copy.
+        self._after_space = _Known(lambda piece: self._learn_bytes(" " + piece))
         model = json.loads(self._tokenizer.to_str())
         self._special = [x["content"] for x in model["added_tokens"]]
         if drops_space:
@@ -111,23 +113,25 @@ class WordEncoder:
         return kept[path, drops_space]
 
     def forget(self, pieces: int = 0) -> None:
-        """Empty the cache if it holds more pieces than that."""
-        if len(self._known) > pieces:
+        """Empty the caches if they hold more pieces than that."""
+        if len(self._known) + len(self._after_space) > pieces:
             self._known.clear()
-
-    def pieces(self, text: str) -> list[str]:
-        if self._drops_space:
-            return text.replace("\n", " ").split(" ")
-        if _LOOSE_SPACE.search(text):
-            return _PIECE.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            self._after_space.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.forget(self._limit)
-        get, join, special = self._known.__getitem__, b"".join, self._special
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
         # An added token's string in a text is that token, wherever it stands: such texts go to the library whole.
-        return [self._library(t) if any(x in t for x in special) else join(map(get, self.pieces(t))) for t in texts]
+        if any(x in text for x in self._special):
+            return self._library(text)
+        if self._drops_space:
+            return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
+        if _LOOSE_SPACE.search(text):
+            return b"".join(map(self._known.__getitem__, _PIECE.findall(text)))
+        first, *rest = text.split(" ")
+        return self._known[first] + b"".join(map(self._after_space.__getitem__, rest))
 
     def _library(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
