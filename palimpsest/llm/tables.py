@@ -78,6 +78,13 @@ class Table:
         for x in (keys, *values):
             x.flush()
 
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys are in the table."""
+        own, _ = self._map()
+        if not len(own):
+            return np.zeros(len(keys), bool)
+        return own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+
     def get(self, keys: np.ndarray, column: int, default: float) -> np.ndarray:
         """The column's value at each key, or the default."""
         own, values = self._map()
