@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups
-from palimpsest.llm.shared import held_out
+from palimpsest.llm.shared import fresh, held_out, lean
 
 #: Training rows of each language, whole: the documented bound of the fit.
 ROWS_PER_LANGUAGE = 1_500
@@ -25,6 +25,10 @@ ROWS_PER_LANGUAGE = 1_500
 BITS = 15
 #: Score difference of the best two languages below which a text is ambiguous.
 AMBIGUOUS = 0.02
+#: Languages that a model may know; the driver gets a row of each.
+MAX_LANGUAGES = 1_000
+#: Bytes of texts that are taken together.
+GROUP_BYTES = 500_000
 
 _SCHEMA = "doc_id long, lang_pred string, score double, second string, ambiguous boolean"
 
@@ -171,7 +175,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     usable = docs.where(~held_out(F.col("doc_id")) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     hashed = usable.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
     # Each language's smallest hashes, found by a sample threshold: counts are aggregated, rows are not.
-    counts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} values")
     wanted = F.lit(False)
     for name, n in sorted(counts.items()):
         keep = min(1.0, 1.2 * ROWS_PER_LANGUAGE / n)
@@ -183,10 +189,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             each = [gram_counts(t) for t in table.column(3).to_pylist()]
-            columns = [pa.array([x[i] for x in each], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int64())))]
+            columns = [pa.array([x[i] for x in each], t) for i, t in enumerate((pa.list_(pa.int32()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([*table.columns[:3], *columns], names=["lang", "h", "digest", "grams", "n"])
 
-    counted = found.mapInArrow(run, "lang string, h long, digest string, grams array<int>, n array<long>")
+    counted = found.mapInArrow(lean(run), "lang string, h long, digest string, grams array<int>, n array<int>")
     rows = counted.orderBy("h", "digest").limit(2 * ROWS_PER_LANGUAGE * max(1, len(counts))).toArrow()
     taken: dict[str, int] = {}
     chosen, languages = [], []
@@ -203,7 +209,7 @@ def _judge(model: Model, texts: list[bytes], letters: list[bool]) -> tuple[list[
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     seconds, flags = [None] * len(texts), [True] * len(texts)
     known = [i for i, x in enumerate(letters) if x and model.languages]
-    for a, b in byte_groups([texts[i] for i in known]):
+    for a, b in byte_groups([texts[i] for i in known], GROUP_BYTES):
         group = known[a:b]
         order, share = model.decode(model.margins([texts[i] for i in group]))
         for i, by, s in zip(group, order, share):
@@ -215,16 +221,20 @@ def _judge(model: Model, texts: list[bytes], letters: list[bool]) -> tuple[list[
     return names, scores, seconds, flags
 
 
-def _inputs(text: str) -> list:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return [body.cast("binary").alias("__text"), body.rlike(r"\p{L}").alias("__letter")]
+def _body(text: str):
+    return F.coalesce(F.col(text), F.lit(""))
+
+
+def _letter(text: str):
+    return _body(text).rlike(r"\p{L}")
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, second, ambiguous`` of every row of ``docs``, from its whole text alone.
 
     A null text, and one without a letter, is ``und`` with score 0; so is every text if the
-    model knows no language. Repeated rows are judged each; an empty table gives no rows.
+    model knows no language. Languages equally near come in alphabetical order, and such a text is ambiguous. Very long texts are averaged like
+    others. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
     """
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,18 +243,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [table.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(seconds, pa.string()), pa.array(flags, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "second", "ambiguous"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(text))
-    return narrow.mapInArrow(run, _SCHEMA)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _body(text).cast("binary").alias("text"), _letter(text).alias("letter"))
+    return narrow.mapInArrow(lean(run), _SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language that is not ambiguous, with all their columns; nothing is shuffled."""
-    width = len(docs.columns)
+    """The rows of ``docs`` with a language that is not ambiguous, with all their columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts, and those without a letter, go; so do ties of two languages. Very long texts are judged whole, repeated rows
+    each; an empty table gives no rows.
+    """
+    width, at = len(docs.columns), docs.columns.index(text)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            names, _, _, flags = _judge(model, table.column(width).to_pylist(), table.column(width + 1).to_pylist())
-            mask = pa.array([n != "und" and not f for n, f in zip(names, flags)], pa.bool_())
-            yield table.select(list(range(width))).filter(mask)
-
-    return docs.select("*", *_inputs(text)).mapInArrow(run, docs.schema)
+            for start in range(0, len(table), 2_000):
+                part = table.slice(start, 2_000)
+                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+                names, _, _, flags = _judge(model, texts, part.column(width).to_pylist())
+                mask = pa.array([n != "und" and not f for n, f in zip(names, flags)], pa.bool_())
+                yield part.select(list(range(width))).filter(mask)
+
+    return docs.select("*", _letter(text).alias(fresh("__letter", docs.columns))).mapInArrow(lean(run), docs.schema)
