@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups, hash_words, joined, mix
 from palimpsest.llm.language import _FOLD
-from palimpsest.llm.shared import Workspace, held_out
+from palimpsest.llm.shared import Workspace, held_out, lean
 from palimpsest.llm.tables import Table
 
 DISCOUNT = 0.75
-#: Bytes of texts that are counted together before the counts are added up.
-COUNTED_BYTES = 8_000_000
+#: Bytes of texts that are taken together, and pairs of words that a task adds up before it hands them on.
+GROUP_BYTES = 500_000
+COUNTED_PAIRS = 2_000_000
 #: Last bits of a pair's key, which depend on both words; the first are the context's.
 KEY_BITS = 44
 #: Words of a passage, and sizes of the sets of a text's most toxic words, wherever they are.
@@ -62,23 +63,34 @@ def _count(texts: DataFrame, labels: Table) -> DataFrame:
     """Class counts of each word after each left neighbour in ``texts`` (doc_id, text), in ranges of ``bucket``, a
     context's first bits. ``labels`` has how often a document is labelled with each class."""
 
+    names = [x.split()[0] for x in _COUNTS.split(", ")]
+
+    def added(parts: list[tuple]) -> list[np.ndarray]:
+        before, hashes, *each = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((hashes, before))
+        before, hashes = before[order], hashes[order]
+        first = np.flatnonzero((np.diff(hashes, prepend=hashes[0] + 1) != 0) | (np.diff(before, prepend=before[0]) != 0))
+        return [before[first], hashes[first], *(np.add.reduceat(x[order], first) for x in each)]
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for table in tables:
             ids = table.column(0).to_numpy()
-            weight = np.stack([labels.get(ids, i, 0.0) for i in (0, 1)]).astype(np.int64)
+            weight = np.stack([labels.get(ids, i, 0.0) for i in (0, 1)]).astype(np.int32)
             chosen = np.flatnonzero(weight.sum(axis=0))
             weight, texts_ = weight[:, chosen], table.column(1).take(pa.array(chosen)).to_pylist()
-            for a, b in byte_groups(texts_, COUNTED_BYTES):
+            for a, b in byte_groups(texts_, GROUP_BYTES):
                 hashes, before, owner = words(texts_[a:b])
-                if not len(hashes):
-                    continue
-                order = np.lexsort((hashes, before))
-                hashes, before, each = hashes[order], before[order], weight[:, a:b][:, owner[order]]
-                first = np.flatnonzero((np.diff(hashes, prepend=hashes[0] + 1) != 0) | (np.diff(before, prepend=before[0]) != 0))
-                columns = [before[first], hashes[first], *(np.add.reduceat(x, first) for x in each)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in _COUNTS.split(", ")])
-
-    found = texts.mapInArrow(run, _COUNTS).withColumn("bucket", F.shiftright("before", KEY_BITS)).repartitionByRange("bucket")
+                if len(hashes):
+                    parts.append((before, hashes, *weight[:, a:b][:, owner]))
+                    held += len(hashes)
+                if held > COUNTED_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in added(parts)], names=names)
+                    parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in added(parts)], names=names)
+
+    found = texts.mapInArrow(lean(run), _COUNTS).withColumn("bucket", F.shiftright("before", KEY_BITS)).repartitionByRange("bucket")
     return found.groupBy("bucket", "before", "word").agg(*[F.sum(c).cast("long").alias(c) for c in ("toxic", "ordinary")])
 
 
@@ -148,7 +160,7 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
 
     one = Window.partitionBy("bucket", "before")
     met = counts.withColumns({f"n_{c}": F.sum(c).over(one) for c in classes} | {f"left_{c}": F.sum(F.least(F.col(c), F.lit(discount)).cast("double")).over(one) for c in classes})
-    pairs = met.mapInArrow(differ, "key long, differs float")
+    pairs = met.mapInArrow(lean(differ), "key long, differs float")
     return Ratios(found, Table.write(pairs, work, "pairs"), unseen)
 
 
@@ -228,12 +240,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             rows = table.column(0).to_pylist()
-            for a, b in byte_groups(rows):
+            for a, b in byte_groups(rows, GROUP_BYTES):
                 columns = [pa.array(c) for c in plain.measures(rows[a:b]).T]
                 yield pa.RecordBatch.from_arrays([table.column(1).slice(a, b - a), *columns], names=["toxic", *[f"m{i}" for i in range(len(columns))]])
 
     schema = "toxic boolean, " + ", ".join(f"m{i} double" for i in range(MEASURES))
-    fitted = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(run, schema).toPandas()
+    fitted = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(lean(run), schema).toPandas()
     fitted = fitted.sort_values(list(fitted.columns))  # so that the sums below have one order
     weights, bias = _logistic(fitted.iloc[:, 1:].to_numpy(np.float64), fitted["toxic"].to_numpy(np.float64)) if len(fitted) else (plain.weights, 0.0)
     return Model(plain.ratios, weights, bias)
@@ -242,28 +254,35 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every row of ``docs``, from its whole text alone.
 
-    Null and empty texts, and those without letters, get the score of a text that says nothing; repeated
-    rows are scored each; an empty table gives no rows.
+    Null and empty texts, and those without letters, get the score of a text that says nothing; very long texts are scored whole, by
+    their worst passages and their mean. Texts with equal measures, repeated rows too, get equal scores; a score at the threshold is toxic. An empty
+    table gives no rows; other columns are not read.
     """
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             texts = table.column(1).to_pylist()
-            found = np.concatenate([model.scores(texts[a:b]) for a, b in byte_groups(texts)] or [np.zeros(0)])
+            found = np.concatenate([model.scores(texts[a:b]) for a, b in byte_groups(texts, GROUP_BYTES)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([table.column(0), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double, predicted int")
+    return narrow.mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all their columns; nothing is shuffled."""
-    width = len(docs.columns)
+    """The rows of ``docs`` below the threshold, with all their columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts count as a text that says nothing; very long texts are scored whole; a score at the threshold goes; repeated rows are
+    judged each; an empty table gives no rows.
+    """
+    at = docs.columns.index(text)
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            texts = table.column(width).to_pylist()
-            found = np.concatenate([model.scores(texts[a:b]) for a, b in byte_groups(texts)] or [np.zeros(0)])
-            yield table.select(list(range(width))).filter(pa.array(found < THRESHOLD, pa.bool_()))
+            for start in range(0, len(table), 2_000):
+                part = table.slice(start, 2_000)
+                texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
+                found = np.concatenate([model.scores(texts[a:b]) for a, b in byte_groups(texts, GROUP_BYTES)] or [np.zeros(0)])
+                yield part.filter(pa.array(found < THRESHOLD, pa.bool_()))
 
-    return docs.select("*", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
