@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.spec import SpecError, TableSpec
@@ -103,8 +103,10 @@ def scan(table: DataFrame, keys: list[str], start=None, end=None, options: ScanO
     return _project(_order(out, keys, options), keys, options, spec)
 
 
-def scan_prefix(table: DataFrame, keys: list[str], prefix: str, options: ScanOptions = ScanOptions(), spec: TableSpec | None = None) -> DataFrame:
-    """Rows whose first key column starts with ``prefix``, otherwise as ``scan``."""
+def scan_prefix(table: DataFrame, keys: list[str], prefix: str | bytes, options: ScanOptions = ScanOptions(), spec: TableSpec | None = None) -> DataFrame:
+    """Rows whose first key column starts with ``prefix``, otherwise as ``scan``. A prefix of bytes is the range up to the least key above it."""
+    if isinstance(prefix, bytes):
+        return scan(table, keys, bytearray(prefix), None if prefix_end(prefix) is None else bytearray(prefix_end(prefix)), options, spec)
     return scan(table.where(F.col(keys[0]).startswith(prefix)), keys, None, None, options, spec)
 
 
@@ -118,20 +120,22 @@ def _project(out: DataFrame, keys: list[str], options: ScanOptions, spec: TableS
 
 
 def keyset_page(table: DataFrame, key: str, after, size: int) -> tuple[DataFrame, DataFrame]:
-    """A page of rows above a cursor, and one row with the next cursor, NULL if no more rows follow."""
+    """A page of rows above a cursor, and one row with the next cursor, NULL if no more rows follow. Each reads the first ``size + 1`` rows once."""
     above = table if after is None else table.where(F.col(key) > F.lit(after))
-    more = above.orderBy(key).limit(size + 1)
-    page = more.orderBy(key).limit(size)
-    cursor = page.agg(F.max(key).alias("last"), F.count("*").alias("n")).crossJoin(more.agg(F.count("*").alias("m")))
-    return page, cursor.select(F.when(F.col("m") > F.col("n"), F.col("last")).alias("next_cursor"))
+    more = above.orderBy(key).limit(size + 1).withColumn("__n", F.row_number().over(Window.orderBy(key)))
+    cursor = more.agg(F.max(F.when(F.col("__n") <= size, F.col(key))).alias("last"), F.count("*").alias("n"))
+    return more.where(F.col("__n") <= size).drop("__n"), cursor.select(F.when(F.col("n") > size, F.col("last")).alias("next_cursor"))
 
 
 def overlay(snapshot: DataFrame, pending: DataFrame, keys: list[str], deleted: str = "deleted") -> DataFrame:
-    """A transaction's view: its own pending writes over the snapshot; a pending delete removes."""
+    """A transaction's view: its own pending writes over the snapshot; a pending delete removes. A null key part equals null."""
     values = [c for c in snapshot.columns if c not in keys]
-    mine = pending.select(*keys, *[F.col(v).alias(f"__{v}") for v in values], F.col(deleted).alias("__deleted"), F.lit(True).alias("__mine"))
-    both = snapshot.withColumn("__there", F.lit(True)).join(mine, keys, "full_outer").where(~F.coalesce(F.col("__deleted"), F.lit(False)))
-    return both.select(*keys, *[F.when(F.col("__mine"), F.col(f"__{v}")).otherwise(F.col(v)).alias(v) for v in values])
+    mine = pending.select(*[F.col(c).alias(f"__{c}") for c in (*keys, *values)], F.col(deleted).alias("__deleted"), F.lit(True).alias("__mine"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = snapshot.join(mine, same, "full_outer").where(~F.coalesce(F.col("__deleted"), F.lit(False)))
+    return both.select(*[F.when(F.col("__mine"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in (*keys, *values)])
 
 
 def whiteout_overlay(base: DataFrame, delta: DataFrame, whiteouts: DataFrame, path: str) -> DataFrame:
@@ -146,6 +150,54 @@ def whiteout_overlay(base: DataFrame, delta: DataFrame, whiteouts: DataFrame, pa
     return kept.unionByName(delta)
 
 
+def key_windows(table: DataFrame, key: str, part: Column, start, end) -> DataFrame:
+    """The key window of each part, ``part, first, rows, overlaps``: from its first key to the first key of the next part, and whether a scan
+    of ``[start, end)`` meets it. Parts are few beside their rows."""
+    parts = table.groupBy(part.alias("part")).agg(F.min(key).alias("first"), F.count("*").alias("rows"))
+    after = F.lead("first").over(Window.orderBy("first"))
+    overlaps = F.lit(True)
+    if end is not None:
+        overlaps = overlaps & (F.col("first") < F.lit(end))
+    if start is not None:
+        overlaps = overlaps & (F.col("__next").isNull() | (F.col("__next") > F.lit(start)))
+    return parts.withColumn("__next", after).withColumn("overlaps", overlaps).drop("__next")
+
+
+def report(table: DataFrame, key: str, part: Column, start, end) -> DataFrame:
+    """What a range scan does, as one row: ``considered`` and ``pruned`` parts, rows ``scanned`` in the parts it reads and rows ``returned``."""
+    windows = key_windows(table, key, part, start, end)
+    inside = (F.col(key) >= F.lit(start)) & (F.col(key) < F.lit(end))
+    seen = windows.agg(F.count("*").alias("considered"), F.count_if(~F.col("overlaps")).alias("pruned"), F.coalesce(F.sum(F.when(F.col("overlaps"), F.col("rows"))), F.lit(0)).alias("scanned"))
+    return seen.crossJoin(F.broadcast(table.agg(F.count_if(inside).alias("returned"))))
+
+
+# Selections: which positions of a batch are still wanted, as boolean Columns over a position.
+
+
+def all_selected() -> Column:
+    return F.lit(True)
+
+
+def from_positions(position: Column, positions: list[int]) -> Column:
+    return position.isin(positions)
+
+
+def slice_of(position: Column, start: int, end: int) -> Column:
+    return (position >= start) & (position < end)
+
+
+def intersect(*masks: Column) -> Column:
+    out = all_selected()
+    for mask in masks:
+        out = out & F.coalesce(mask, F.lit(False))
+    return out
+
+
+def survivors(rows: DataFrame, mask: Column) -> DataFrame:
+    """How many positions a selection has and how many it leaves out, as one row."""
+    return rows.agg(F.count_if(intersect(mask)).alias("selected"), F.count_if(~intersect(mask)).alias("dropped"))
+
+
 def execution_report(df: DataFrame) -> dict[str, Any]:
     """What a scan does: rows returned, files considered, and the filters pushed to the reader."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -85,3 +85,32 @@ def test_too_old_and_horizon(spark):
         feed.changes_since(log, (2, 0), oldest=5)
     assert feed.changes_since(log, (4, 9), oldest=5).count() == 1
     assert visibility.horizon(10, None) is None and visibility.horizon(10, 3) == 8 and visibility.horizon(10, 3, 4) == 4
+
+
+def test_transactions_and_compaction(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    folder, keys = f"file://{tmp_path}", {"t": ["k"], "u": ["k"]}
+    db = Database(spark, folder, {"t": schema, "u": schema}, keys)
+    first = db.commit(Batch().put("t", {"k": "a"}, v=1).put("u", {"k": None}, v=1))
+    tx = db.begin()
+    assert tx.read("t", {"k": "a"}) == {"k": "a", "v": 1} and tx.read("t", {"k": "b"}) is None
+    tx.put("t", {"k": "a"}, v=2).delete("u", {"k": None})
+    assert tx.read("t", {"k": "a"})["v"] == 2 and tx.scan("u").count() == 0
+    other = Database(spark, folder, {"t": schema, "u": schema}, keys)
+    other.append("u", spark.createDataFrame([("z", 1)], schema))
+    assert tx.commit() == first + 2  # the sequence between was taken by the other writer, on keys that were not read
+    late = Batch().put("t", {"k": "c"}, v=1).read("u", {"k": None}, first)
+    with pytest.raises(Conflict):
+        db.commit(late)
+    with pytest.raises(ValueError):
+        tx.put("t", {"k": "a"}, v=3).commit()
+    before = [{r.k: r.v for r in visibility.current(db.log(t), ["k"]).collect()} for t in ("t", "u")]
+    assert before == [{"a": 2}, {"z": 1}]
+    assert db.floor("t") == 0 and db.compact() == first + 2 and db.floor("t") == first + 3
+    again = Database(spark, folder, {"t": schema, "u": schema}, keys)
+    assert again.sequence == first + 2 and [{r.k: r.v for r in visibility.current(again.log(t), ["k"]).collect()} for t in ("t", "u")] == before
+    assert {r.k: r.v for r in visibility.current(again.log("t"), ["k"], first).collect()} == {"a": 1}
+    # A commit that stops before its manifest is no commit.
+    (tmp_path / "commits" / f"{first + 3:020d}.json").write_text('{"seq"')
+    assert Database(spark, folder, {"t": schema, "u": schema}, keys).sequence == first + 2
+    assert again.append("t", spark.createDataFrame([("d", 4)], schema)) == first + 4
