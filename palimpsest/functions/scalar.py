@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codecs import canonical_json
+
 
 def route(key: Column, partitions: int) -> Column:
     """The virtual partition of a key: its checksum modulo the partitions."""
@@ -19,8 +21,10 @@ def shard_of(partition: Column, shards: list[int]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case runs of ASCII letters and digits. The cut comes first, so other letters separate."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[^A-Za-z0-9]+"), F.lower), lambda x: x != ""))
+    """Distinct lower-case runs of ASCII letters and digits; other letters separate. Only ASCII is lowered, and all at once, so nothing is
+    evaluated token by token."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.array_distinct(F.split(lowered, "[^a-z0-9]+")), "")
 
 
 def digest(data: Column) -> Column:
@@ -32,8 +36,9 @@ def number_term(label: str, number: Column) -> Column:
     return F.concat(F.lit(f"{label}:"), F.lpad(number.cast("string"), 20, "0"))
 
 
-def json_term(value: Column) -> Column:
-    return F.lower(F.to_json(value))
+def json_term(label: str, **fields: Column) -> Column:
+    """The exact-match term of an object: its canonical JSON, lower-cased."""
+    return F.concat(F.lit(f"{label}:"), F.lower(canonical_json(**fields)))
 
 
 def json_path(document: Column, path: str) -> Column:

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codecs import entry_key
 from palimpsest.log import DELETE, KIND, MERGE, PUT
 
 
@@ -75,6 +76,11 @@ def decode(raw: DataFrame, row_schema: str, value: str = "value") -> DataFrame:
     return out.withColumn("error", error)
 
 
+def decode_with(raw: DataFrame, decoder, row_schema: str, value: str = "value") -> DataFrame:
+    """Envelopes of another kind: ``decoder`` (a Column function) makes the usual JSON of a value; the rules stay."""
+    return decode(raw.withColumn(value, decoder(F.col(value))), row_schema, value)
+
+
 def check_topic(events: DataFrame, topic: str = "topic") -> DataFrame:
     """Marks events whose topic is not the one of their source table."""
     bound = F.concat("source.db", F.lit("."), "source.schema", F.lit("."), "source.table")
@@ -97,6 +103,13 @@ def transitions(events: DataFrame, predicate: RowPredicate) -> DataFrame:
     return marked.withColumn("transition", kind).where(F.col("transition").isNotNull()).drop("was_in", "is_in")
 
 
+def transition_entries(events: DataFrame, predicate: RowPredicate, partition: str, offset: str) -> DataFrame:
+    """Transitions keyed by the entry of their source, ``entry`` (partition and offset, big-endian), so that an entry that comes again
+    is the same row."""
+    found = transitions(events, predicate)
+    return found.withColumn("entry", entry_key(F.col(partition), F.col(offset)))
+
+
 def event_log(events: DataFrame, predicate: RowPredicate) -> DataFrame:
     """Events that the log keeps: tombstones, and those with an image that matches."""
     marked = membership(events, predicate)

@@ -47,3 +47,14 @@ def merged(logs: list[DataFrame]) -> DataFrame:
 def lag(durable: Column, frontier: Column) -> Column:
     """How far a consumer is behind; never negative."""
     return F.greatest(F.lit(0), durable - F.coalesce(frontier, F.lit(0)))
+
+
+def floors(log: DataFrame, by: list[str], logical: int) -> DataFrame:
+    """Each table's change-feed floor: what retention allows, or the oldest commit that is still there, whichever is later."""
+    return log.groupBy(*by).agg(F.greatest(F.lit(logical).cast("long"), F.min(SEQ)).alias("floor"))
+
+
+def frontiers(log: DataFrame, by: list[str], durable: int) -> DataFrame:
+    """Each table's visible and durable sequence, and how many operations wait to become durable."""
+    at = F.coalesce(F.max(F.when(F.col(SEQ) <= durable, F.col(SEQ))), F.lit(0).cast("long"))
+    return log.groupBy(*by).agg(F.max(SEQ).alias("visible"), at.alias("durable"), F.count_if(F.col(SEQ) > durable).alias("pending"))

@@ -1,7 +1,7 @@
 """Merge operators: how operands fold onto a base.
 
-``fold`` is an aggregate over a key's live rows: at most one base (put or delete) and the operands above it. Algebraic
-operators keep partial aggregation; ordered ones sort the operands of one key.
+``fold`` is an aggregate over a key's live rows: at most one base (put or delete) and the operands above it; ``running`` is the same up to each
+row of a window frame. Algebraic operators keep partial aggregation; ordered ones sort the operands of one key.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ class Extreme:
     def fold(self, value: Column) -> Column:
         return (F.max if self.largest else F.min)(F.when(_either(), value))
 
+    def running(self, value: Column, frame) -> Column:
+        return self.fold(value).over(frame)
+
 
 @dataclass(frozen=True)
 class FirstNonNull:
@@ -56,6 +59,9 @@ class FirstNonNull:
     def fold(self, value: Column) -> Column:
         return F.min_by(value, F.when(_either() & value.isNotNull(), F.col(SEQ)))
 
+    def running(self, value: Column, frame) -> Column:
+        return F.first(F.when(_either(), value), ignorenulls=True).over(frame)
+
 
 @dataclass(frozen=True)
 class LastNonNull:
@@ -64,6 +70,9 @@ class LastNonNull:
     def fold(self, value: Column) -> Column:
         return F.max_by(value, F.when(_either() & value.isNotNull(), F.col(SEQ)))
 
+    def running(self, value: Column, frame) -> Column:
+        return F.last(F.when(_either(), value), ignorenulls=True).over(frame)
+
 
 @dataclass(frozen=True)
 class Append:
@@ -75,6 +84,9 @@ class Append:
         parts = F.array_sort(F.collect_list(F.when(_either(), F.struct(F.col(SEQ).alias("s"), value.alias("v")))))
         return F.array_join(F.transform(parts, lambda p: p["v"]), self.separator)
 
+    def running(self, value: Column, frame) -> Column:
+        return F.array_join(F.collect_list(F.when(_either(), value)).over(frame), self.separator)
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -86,3 +98,7 @@ class Fold:
     def fold(self, value: Column) -> Column:
         parts = F.array_sort(F.collect_list(F.when(_either(), F.struct(F.col(SEQ).alias("s"), value.alias("v")))))
         return F.aggregate(parts, self.start, lambda total, part: self.step(total, part["v"]))
+
+    def running(self, value: Column, frame) -> Column:
+        parts = F.collect_list(F.when(_either(), F.struct(value.alias("v")))).over(frame)
+        return F.aggregate(parts, self.start, lambda total, part: self.step(total, part["v"]))

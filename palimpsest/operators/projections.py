@@ -28,6 +28,22 @@ def ranked(state: DataFrame, rank: str, tie: str, key: list[str], n: int) -> Dat
     return state.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_by(state: DataFrame, rank: Column, tie: Column, key: Column, n: int, **encoded: Column) -> DataFrame:
+    """As ``ranked``, with the rank, the tie, the output key and what is stored given as expressions: ``key``, the encoded columns, ``position``."""
+    rows = state.select(rank.alias("__rank"), tie.alias("__tie"), key.alias("key"), *[c.alias(name) for name, c in encoded.items()])
+    return ranked(rows, "__rank", "__tie", ["key"], n).select("key", *encoded, "position")
+
+
+def fan_out(log: DataFrame, handler, key: list[str]) -> DataFrame:
+    """A handler that makes many writes of one row: ``handler`` gives an array of structs, each a row of the output, of which ``key`` is
+    the key. The last write of a commit to an output key stands."""
+    rows = log.select("seq", "op_index", F.posexplode(handler).alias("__nth", "__write"))
+    rows = rows.select("seq", "op_index", "__nth", "__write.*")
+    rest = [c for c in rows.columns if c not in (*key, "seq", "op_index", "__nth")]
+    last = rows.groupBy(*key, "seq").agg(F.max_by(F.struct(*rest), F.struct("op_index", "__nth")).alias("__last"))
+    return last.select(*key, "seq", *[F.col(f"__last.{c}").alias(c) for c in rest])
+
+
 def unique_output(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows``, failing on a repeated output key."""
     n = F.count("*").over(Window.partitionBy(*key))
@@ -62,6 +78,12 @@ def expand(source: DataFrame, membership: DataFrame, on: str, row_id: str) -> Da
     return source.join(membership, on).select("lookup_key", F.col(row_id).alias("row_id")).distinct()
 
 
+def folded(source: DataFrame, fold, expand_) -> DataFrame:
+    """A visibility index from two functions over DataFrames: ``fold`` makes the members from the source, ``expand_`` their grants
+    (lookup_key, row_id, mirror); equal grants are one."""
+    return canonical(expand_(fold(source)), "mirror")
+
+
 def canonical(grants: DataFrame, mirror: str) -> DataFrame:
     """One row a grant; equal duplicates merge, duplicates with different mirrors fail."""
     fail = F.raise_error(F.lit("conflicting mirrors of a grant")).cast("string")

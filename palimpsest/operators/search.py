@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalar import tokens
+from palimpsest.functions.scalar import number_term, tokens
 
 CHUNK_BYTES = 256
 SNIPPET_CHARS = 120
@@ -29,25 +29,43 @@ def chunk(text: str, limit: int = CHUNK_BYTES) -> list[str]:
 
 
 def chunks(docs: DataFrame, key: str, text: str, limit: int = CHUNK_BYTES) -> DataFrame:
-    """``key, chunk_index, chunk``. A byte budget over characters has no built-in form, so this is Arrow code."""
+    """``key, chunk_index, chunk``. In ASCII texts bytes are characters, and a pattern cuts them; a byte budget over wider
+    characters has no built-in form, so those texts go through Arrow."""
     kind = docs.schema[key].dataType.simpleString()
+    narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            keys, numbers, parts = [], [], []
-            for k, t in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
-                for i, part in enumerate(chunk(t or "", limit)):
-                    keys.append(k)
-                    numbers.append(i)
-                    parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, table.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names=[key, "chunk_index", "chunk"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, chunk string")
-
-
-def postings(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``term`` and key, once for each distinct term of a row."""
-    return rows.select(*key, F.explode(tokens(F.col(text))).alias("term"))
+            for at in range(0, len(table), 256):
+                part = table.slice(at, 256)
+                rows = [(k, i, c) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for i, c in enumerate(chunk(t, limit))]
+                types = (part.schema.field(0).type, pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "chunk_index", "chunk"])
+
+    narrow_only = F.octet_length("text") == F.char_length("text")
+    plain = narrow.where(narrow_only).select("key", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))).alias("chunk_index", "chunk"))
+    wide = narrow.where(~narrow_only).mapInArrow(run, f"key {kind}, chunk_index int, chunk string")
+    return plain.unionByName(wide).select(F.col("key").alias(key), "chunk_index", "chunk")
+
+
+def postings(rows: DataFrame, key: list[str], text: str, terms: list[str] | None = None) -> DataFrame:
+    """``term`` and key, once for each distinct term of a row; only of ``terms``, if given, so that a query makes no rows of the rest."""
+    found = tokens(F.col(text))
+    if terms is not None:
+        found = F.array_intersect(found, F.array(*[F.lit(t) for t in sorted(set(terms))]))
+    return rows.select(*key, F.explode(found).alias("term"))
+
+
+def index_terms(catalog: DataFrame, key: str, metadata: dict[str, Column], numbers: dict[str, Column], tags: Column, parts: DataFrame) -> DataFrame:
+    """The search index: ``term, kind`` and key, once each, from exact metadata values (canonical JSON), numbers (zero-padded), tags (an array)
+    and the tokens of text chunks ``parts`` (key, chunk)."""
+    exact = F.array(*[F.concat(F.lit(f"{n}:"), F.lower(F.to_json(F.struct(c.alias("v"))))) for n, c in sorted(metadata.items())])
+    padded = F.array(*[number_term(n, c) for n, c in sorted(numbers.items())])
+    out = parts.select(key, F.explode(tokens(F.col("chunk"))).alias("term")).withColumn("kind", F.lit("text"))
+    for kind, terms in (("metadata", exact), ("number", padded), ("tag", F.transform(tags, lambda t: F.concat(F.lit("tag:"), F.lower(t))))):
+        one = catalog.select(key, F.explode(F.filter(terms, lambda t: t.isNotNull())).alias("term")).withColumn("kind", F.lit(kind))
+        out = out.unionByName(one)
+    return out.distinct()
 
 
 def matches_all(index: DataFrame, key: list[str], terms: list[str], among: DataFrame | None = None) -> DataFrame:

@@ -55,15 +55,25 @@ def resolve(log: DataFrame, keys: list[str], operators: dict[str, "object"], seq
     return out.where("__exists").drop("__exists")
 
 
-def merges_as_puts(log: DataFrame, keys: list[str], name: str, running) -> DataFrame:
-    """Every merge row as the put of its resolved value at its own sequence. ``running`` folds a column over a window frame."""
+def rewrite_merges(log: DataFrame, keys: list[str], operators: dict[str, "object"], single: bool = False) -> DataFrame:
+    """Every merge row as the put of its resolved values at its own sequence, for merge operators of any kind. A commit's last
+    operation of a key counts, as in ``resolve``; ``single`` promises that there is but one."""
+    rows = log if single else last_of_commit(log, keys)
     order = Window.partitionBy(*keys).orderBy(SEQ, OP)
     epoch = F.sum(F.when(F.col(KIND) == MERGE, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    staged = log.withColumn("__epoch", epoch)
     frame = Window.partitionBy(*keys, "__epoch").orderBy(SEQ, OP).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.when(F.col(KIND) == MERGE, running(F.col(name), frame)).otherwise(F.col(name))
-    kind = F.when(F.col(KIND) == MERGE, F.lit(PUT)).otherwise(F.col(KIND))
-    return staged.withColumns({name: value, KIND: kind}).drop("__epoch")
+    folded = {n: F.when(F.col(KIND) == MERGE, o.running(F.col(n), frame)).otherwise(F.col(n)) for n, o in operators.items()}
+    return rows.withColumn("__epoch", epoch).withColumns(folded | {KIND: F.when(F.col(KIND) == MERGE, F.lit(PUT)).otherwise(F.col(KIND))}).drop("__epoch")
+
+
+def merges_as_puts(log: DataFrame, keys: list[str], name: str, running) -> DataFrame:
+    """``rewrite_merges`` of one column of a log that touches a key once a commit. ``running`` folds a column over a window frame."""
+    return rewrite_merges(log, keys, {name: _Running(running)}, single=True)
+
+
+class _Running:
+    def __init__(self, running) -> None:
+        self.running = running
 
 
 def horizon(current_seq: int, retained: int | None, oldest_snapshot: int | None = None) -> int | None:

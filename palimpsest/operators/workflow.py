@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.log import SEQ
+from palimpsest.log import DELETE, KIND, OP, SEQ, Database, SnapshotTooOld
 
 
 def due(timers: DataFrame, now, durable: int | None = None, limit: int | None = None) -> DataFrame:
@@ -61,3 +63,89 @@ def forensics(run_id, inbox: DataFrame, journal: DataFrame, timers: DataFrame) -
     """All that is stored about one run, in time order."""
     parts = [d.where(F.col("run_id") == F.lit(run_id)).select("run_id", F.lit(n).alias("kind"), "at", "detail") for n, d in (("inbox", inbox), ("journal", journal), ("timer", timers))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("at", "kind")
+
+
+def relay(db: Database, table: str, limit: int, deliver: Callable[[DataFrame], None]) -> int:
+    """Deliver the oldest ``limit`` rows of an outbox table, then delete them in one commit; returns how many. A failure before the
+    commit leaves them to be delivered again."""
+    from palimpsest.operators.visibility import current
+
+    keys = db.keys[table]
+    waiting = current(db.log(table), keys).orderBy(SEQ, *keys).limit(limit)
+    n = waiting.count()
+    if n:
+        deliver(waiting)
+        db.append_all({table: waiting.select(*keys).withColumns({OP: F.lit(0), KIND: F.lit(DELETE)})})
+    return n
+
+
+def start_cursor(policy: str, durable: int, checkpoint: int | None = None, oldest: int = 0) -> int:
+    """Where a source is admitted from: ``beginning``, ``current`` (the durable sequence) or ``checkpoint``. A checkpoint that is gone is an error,
+    unless ``fast_forward`` takes the oldest commit left, or ``replay`` the beginning."""
+    if policy == "beginning":
+        return 0
+    if policy == "current":
+        return durable
+    if policy in ("checkpoint", "fast_forward", "replay"):
+        if checkpoint is None:
+            return 0
+        if checkpoint + 1 >= oldest:
+            return checkpoint
+        if policy == "checkpoint":
+            raise SnapshotTooOld(checkpoint, oldest)
+        return oldest - 1 if policy == "fast_forward" else 0
+    raise ValueError(f"unknown policy {policy}")
+
+
+def admitted(page: DataFrame, run_id: Column, before: DataFrame | None = None) -> DataFrame:
+    """A page of a source's durable feed as inbox rows: ``run_id, nth`` and the page's columns. A run's rows are numbered in feed order, above the
+    ``inbox`` (run_id, nth) that it has already; rows routed to no run are left out."""
+    routed = page.withColumn("run_id", run_id).where("run_id IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy(SEQ, OP)).cast("long")
+    if before is None:
+        return routed.withColumn("nth", nth)
+    last = before.groupBy("run_id").agg(F.max("nth").alias("__last"))
+    return routed.join(last, "run_id", "left").withColumn("nth", nth + F.coalesce("__last", F.lit(0))).drop("__last")
+
+
+def step(triggers: DataFrame, state: DataFrame, next_state: Column, messages: Column, timers: Column) -> dict[str, DataFrame]:
+    """One step of every run with a trigger: its new ``state``, the ``outbox`` messages (an array) and the ``timers`` (an array of times) that
+    the handler's expressions over trigger and state columns give."""
+    both = triggers.join(state, "run_id", "left")
+    return {
+        "state": both.select("run_id", next_state.alias("state")),
+        "outbox": both.select("run_id", F.posexplode(messages).alias("nth", "message")),
+        "timers": both.select("run_id", F.explode(timers).alias("fire_at")),
+    }
+
+
+def describe(runs: DataFrame, journal: DataFrame, inbox: DataFrame, timers: DataFrame) -> DataFrame:
+    """Each run with its last step and what waits for it: ``steps, last_at, waiting, due``."""
+    out = runs
+    for rows, counts in (
+        (journal, [F.count("*").alias("steps"), F.max("at").alias("last_at")]), (inbox, [F.count("*").alias("waiting")]), (timers, [F.count("*").alias("due")]),
+    ):
+        out = out.join(rows.groupBy("run_id").agg(*counts), "run_id", "left")
+    return out.fillna(0, ["steps", "waiting", "due"])
+
+
+def history(journal: DataFrame, run_id, after=None, size: int = 100) -> DataFrame:
+    """A page of one run's steps, in order."""
+    found = journal.where(F.col("run_id") == F.lit(run_id))
+    if after is not None:
+        found = found.where(F.col("at") > F.lit(after))
+    return found.orderBy("at").limit(size)
+
+
+#: What each target of a run query shows.
+_TARGETS = {"state": ("run_id", "state"), "visibility": ("run_id", "lifecycle", "deployment"), "execution": ("run_id", "lifecycle", "steps")}
+
+
+def run_query(runs: DataFrame, target: str, run_id=None, closed: tuple[str, ...] = ()) -> DataFrame:
+    """A run query's answer with ``accepted``: a run in a ``closed`` lifecycle is rejected, and its columns are NULL."""
+    if target not in _TARGETS:
+        raise ValueError(f"unknown target {target}")
+    found = runs if run_id is None else runs.where(F.col("run_id") == F.lit(run_id))
+    accepted = ~F.col("lifecycle").isin(list(closed))
+    shown = [F.col(c) if c == "run_id" else F.when(accepted, F.col(c)).alias(c) for c in _TARGETS[target]]
+    return found.select(*shown, accepted.alias("accepted"))

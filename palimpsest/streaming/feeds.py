@@ -1,6 +1,6 @@
 """Streams over logs: feeds, mirrors, counters, transitions, timers.
 
-A log's files hold whole commits, so a micro-batch, a set of files, never splits one. Sinks write by
+Streams read files as they come; ``incremental`` follows a database commit by commit where a commit must never be split. Sinks write by
 batch id into a folder of their own and replace it when a batch is run again, so results are the same after a retry.
 """
 
@@ -36,17 +36,30 @@ def append_feed(stream: DataFrame, checkpoint: str, out: str, keep: Column | Non
     return run_batches(chosen, checkpoint, lambda df, i: _put(df, out, i))
 
 
-def mirror(stream: DataFrame, checkpoint: str, out: str, keys: list[str]) -> StreamingQuery:
-    """Each batch's newest row of a key; the mirror is the newest over all batches (``read_mirror``)."""
+def _heads(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    rest = [c for c in df.columns if c not in keys]
+    head = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(SEQ, OP)).alias("head"))
+    return head.select(*keys, *[F.col(f"head.{c}").alias(c) for c in rest])
+
+
+def mirror(stream: DataFrame, checkpoint: str, out: str, keys: list[str], log_out: str | None = None) -> StreamingQuery:
+    """Each batch's newest row of a key; the mirror is the newest over all batches (``read_mirror``). ``log_out`` takes the rows themselves."""
 
     def apply(df: DataFrame, i: int) -> None:
-        rest = [c for c in df.columns if c not in keys]
-        head = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(SEQ, OP)).alias("head"))
-        _put(head.select(*keys, *[F.col(f"head.{c}").alias(c) for c in rest]), out, i)
+        if log_out is not None:
+            _put(df, log_out, i)
+        _put(_heads(df, keys), out, i)
 
     return run_batches(stream, checkpoint, apply)
 
 
+def compact_mirror(spark: SparkSession, out: str, into: str, keys: list[str]) -> None:
+    """All batches of a stopped mirror as one folder, in a new place, so that reads fold one batch. A mirror that goes on writes
+    there, with later batch numbers."""
+    _put(_heads(spark.read.parquet(out).drop("batch"), keys), into, 0)
+
+
 def read_mirror(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     from palimpsest.operators.visibility import current
 
@@ -64,14 +77,7 @@ def read_counter(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
 
 def both(stream: DataFrame, checkpoint: str, log_out: str, mirror_out: str, keys: list[str]) -> StreamingQuery:
     """Append-only table and mirror from one pass."""
-
-    def apply(df: DataFrame, i: int) -> None:
-        rest = [c for c in df.columns if c not in keys]
-        _put(df, log_out, i)
-        head = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(SEQ, OP)).alias("head"))
-        _put(head.select(*keys, *[F.col(f"head.{c}").alias(c) for c in rest]), mirror_out, i)
-
-    return run_batches(stream, checkpoint, apply)
+    return mirror(stream, checkpoint, mirror_out, keys, log_out)
 
 
 def outbox_relay(stream: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -90,7 +96,8 @@ def stateful_transitions(stream: DataFrame, entity: str, order: str, predicate:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         was = state.get[0] if state.exists else False
-        rows = pd.concat(list(parts)).sort_values("at")
+        # Of rows with one time the false ones come first, whatever order they arrive in.
+        rows = pd.concat(list(parts)).sort_values(["at", "now"])
         out = []
         for at, now in zip(rows["at"], rows["now"]):
             if bool(now) != was:
