@@ -48,13 +48,3 @@ def test_matches_sql(spark, tables, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
-
-
-def test_shards_cover_all_orders(spark):
-    found = core.shard_route_counts(spark, FOLDER).collect()
-    assert sum(r.n for r in found) == spark.read.parquet(f"{FOLDER}/orders.parquet").count()
-
-
-def test_snippets_hold_their_terms(spark):
-    for r in core.search_snippet(spark, FOLDER).collect():
-        assert len(r.snippet) <= 120
