@@ -87,7 +87,7 @@ def _average(grams: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.n
     for b in range(weights.shape[1]):
         w = weights[:, b]
         each = w[grams[:, 0]] + w[grams[:, 1]] + w[grams[:, 2]]
-        out[:, b] = np.add.reduceat(each, starts, dtype=np.float64)
+        out[:, b] = np.add.reduceat(each * used, starts, dtype=np.float64)
     return out / count[:, None]
 
 
