@@ -171,6 +171,18 @@ def report(table: DataFrame, key: str, part: Column, start, end) -> DataFrame:
     return seen.crossJoin(F.broadcast(table.agg(F.count_if(inside).alias("returned"))))
 
 
+def skip_index(table: DataFrame, key: str, part: Column, bits: int = 256) -> DataFrame:
+    """What each part may hold, ``part, least, most, marks``: the bounds of its keys and the marks (key modulo ``bits``) that occur."""
+    rows = table.where(F.col(key).isNotNull()).select(part.alias("part"), F.col(key).alias("key"), F.pmod(F.col(key), F.lit(bits)).alias("mark"))
+    return rows.groupBy("part").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.collect_set("mark").alias("marks"))
+
+
+def probe(index: DataFrame, value: int, bits: int = 256) -> DataFrame:
+    """The parts that a read of one key cannot skip."""
+    inside = F.lit(value).between(F.col("least"), F.col("most"))
+    return index.where(inside & F.array_contains("marks", F.lit(value % bits).cast("long"))).select("part")
+
+
 # Selections: which positions of a batch are still wanted, as boolean Columns over a position.
 
 

@@ -41,17 +41,35 @@ def current(log: DataFrame, keys: list[str], seq: int | None = None) -> DataFram
     return head.where(kind == PUT).select(*keys, *[F.col(f"head.{c}").alias(c) for c in values], F.col("head.seq").alias(SEQ))
 
 
-def resolve(log: DataFrame, keys: list[str], operators: dict[str, "object"], seq: int | None = None, single: bool = False) -> DataFrame:
+def resolve(log: DataFrame, keys: list[str], operators: dict[str, "object"], seq: int | None = None, single: bool = False, heavy: int | None = None) -> DataFrame:
     """Keys and values at ``seq`` with merge operands folded in commit order onto the newest put or
     delete below them. ``operators`` has a merge operator for each value column; ``single`` promises that
-    no commit touches a key twice."""
+    no commit touches a key twice.
+
+    A key's rows meet in one task to find its base. ``heavy`` spares keys with more rows than that: their bases, of which there are at most
+    the log's rows divided by ``heavy``, are broadcast to the rows, and partial aggregates fold them. Ordered operators (``Append``, ``Fold``) still
+    gather a key's operands, which are their result.
+    """
     seen = up_to(log, seq)
     seen = seen if single else last_of_commit(seen, keys)
-    base = F.max(F.when(F.col(KIND) != MERGE, F.col(SEQ))).over(Window.partitionBy(*keys))
-    live = seen.withColumn("__base", base).where(F.col("__base").isNull() | (F.col(SEQ) >= F.col("__base")))
+    newest = F.max(F.when(F.col(KIND) != MERGE, F.col(SEQ)))
+    if heavy is None:
+        return _fold(seen.withColumn("__base", newest.over(Window.partitionBy(*keys))), keys, operators)
+    named = {k: F.col(k).alias(f"__{k}") for k in keys}
+    bases = seen.groupBy(*named.values()).agg(newest.alias("__base"), F.count("*").alias("__n")).where(F.col("__n") > heavy).drop("__n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    many = seen.join(F.broadcast(bases), same).drop(*[f"__{k}" for k in keys])
+    few = seen.join(F.broadcast(bases.drop("__base")), same, "left_anti").withColumn("__base", newest.over(Window.partitionBy(*keys)))
+    return _fold(many, keys, operators).unionByName(_fold(few, keys, operators))
+
+
+def _fold(based: DataFrame, keys: list[str], operators: dict[str, "object"]) -> DataFrame:
+    """Rows with their key's base folded from there on."""
+    live = based.where(F.col("__base").isNull() | (F.col(SEQ) >= F.col("__base")))
     folded = [operator.fold(F.col(name)).alias(name) for name, operator in operators.items()]
-    exists = F.bool_or(F.col(KIND) != DELETE).alias("__exists")
-    out = live.groupBy(*keys).agg(*folded, F.max(SEQ).alias(SEQ), exists)
+    out = live.groupBy(*keys).agg(*folded, F.max(SEQ).alias(SEQ), F.bool_or(F.col(KIND) != DELETE).alias("__exists"))
     return out.where("__exists").drop("__exists")
 
 

@@ -35,6 +35,11 @@ def recurring(schedules: DataFrame, start: str, every: Column, until: Column) ->
     return schedules.withColumn("fire_at", F.explode(F.sequence(F.col(start), until, every)))
 
 
+def recurring_by(schedules: DataFrame, firings: Column) -> DataFrame:
+    """Firings that a handler of its own gives, as an array of times over a schedule's columns."""
+    return schedules.withColumn("fire_at", F.explode(firings))
+
+
 def outbox_batch(outbox: DataFrame, cursor: int, durable: int, limit: int) -> DataFrame:
     found = outbox.where((F.col(SEQ) > cursor) & (F.col(SEQ) <= durable))
     return found.orderBy(SEQ, "message_id").limit(limit)

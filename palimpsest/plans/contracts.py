@@ -75,6 +75,14 @@ def selection_masks(spark, d):
     return scan.survivors(read_table(spark, d, "part"), mask)
 
 
+@query("""
+    WITH p AS (SELECT o_orderkey // 100 AS part, o_custkey AS k FROM orders), w AS (SELECT part, min(k) AS least, max(k) AS most, bool_or(k % 64 = 77 % 64) AS mark FROM p GROUP BY part)
+    SELECT part FROM w WHERE 77 BETWEEN least AND most AND mark""")
+def skip_index_probe(spark, d):
+    index = scan.skip_index(read_table(spark, d, "orders"), "o_custkey", F.floor(F.col("o_orderkey") / 100), 64)
+    return scan.probe(index, 77, 64)
+
+
 RECORD = TableSpec("record", ("id",), (
     FieldSpec(1, "id", "int64", False), FieldSpec(2, "name", "string"), FieldSpec(3, "price", "float64"), FieldSpec(4, "large", "bool", False, False),
 ))
@@ -155,6 +163,20 @@ def vfs_pread(spark, d):
     return files.pread(files.chunked(docs, "doc_id", "text", 512), 512, 700, 900).select("inode", F.hex("data").alias("data"))
 
 
+@query("""
+    WITH a AS (SELECT 'd/' || doc_id AS path, sha256(text) AS digest FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL),
+    b AS (SELECT 'd/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE text END) AS digest FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL)
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest""")
+def worktree_status(spark, d):
+    """What a work tree has that its index has not, and the other way round, by path and content."""
+    docs = read_table(spark, d, "documents").where("text IS NOT NULL")
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path")
+    index = docs.where("doc_id % 5 <> 0").select(path, F.sha2("text", 256).alias("digest"))
+    tree = docs.where("doc_id % 3 <> 0").select(path, F.sha2(F.when(F.col("doc_id") % 7 == 0, "new").otherwise(F.col("text")), 256).alias("digest"))
+    return projections.diff(index, tree, ["path"], "digest").select("path", "change")
+
+
 # Writes
 
 
@@ -348,7 +370,7 @@ def lookup_keys(spark, d):
 
 
 @query(f"""
-    WITH {EVENT_LOG_SQL}, h AS (SELECT least(max(seq) - 2999, 6500) AS horizon FROM log), t AS (
+    WITH {EVENT_LOG_SQL}, h AS (SELECT least(greatest(0, max(seq) - 2999), 6500) AS horizon FROM log), t AS (
         SELECT log.*, horizon, max(CASE WHEN seq <= horizon THEN seq END) OVER (PARTITION BY user_id, event_type) AS newest FROM log, h)
     SELECT kind, horizon, count(*) AS n FROM t WHERE seq > horizon OR seq = newest GROUP BY ALL""")
 def horizon_trim(spark, d):
@@ -389,6 +411,13 @@ def merge_rewrite_commits(spark, d):
     return found.select("l_suppkey", SEQ, (F.col(KIND) == DELETE).alias("gone"), "quantity")
 
 
+@query(_RESOLVED + """
+    SELECT user_id, event_type, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount, max(note) AS note, max(seq) AS seq FROM live GROUP BY ALL HAVING bool_or(kind <> 'delete')""")
+def merge_heavy_keys(spark, d):
+    """Keys with many rows are folded by partial aggregates, without meeting in one task."""
+    return visibility.resolve(event_log(spark, d), KEYS, {"amount": merge.Sum(), "note": merge.Extreme()}, single=True, heavy=6)
+
+
 # Keys
 
 
@@ -754,6 +783,13 @@ def workflow_step(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("SELECT event_id, event_id + unnest([1, 2, 4, 8, 16]) * 60 AS fire_at FROM events WHERE event_type = 'signup'")
+def recurring_custom(spark, d):
+    """A handler that doubles its interval."""
+    rows = read_table(spark, d, "events").where("event_type = 'signup'").select("event_id")
+    return workflow.recurring_by(rows, F.transform(F.array(*[F.lit(1 << i) for i in range(5)]), lambda n: F.col("event_id") + n * 60))
+
+
 @query("""
     WITH r AS (SELECT user_id % 40 AS run_id, event_id, event_type FROM events)
     SELECT run_id, count(*) FILTER (event_type = 'click') AS steps, coalesce(max(event_id) FILTER (event_type = 'click'), -1) AS last_at,

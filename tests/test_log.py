@@ -38,6 +38,8 @@ def test_state_matches_model(spark, commits):
     for at in (len(commits), len(commits) // 2):
         found = visibility.resolve(log.repartition(3), ["k"], {"v": merge.Sum()}, at).collect()
         assert {r.k: r.v for r in found} == model(commits, at)
+        found = visibility.resolve(log.repartition(3), ["k"], {"v": merge.Sum()}, at, heavy=2).collect()
+        assert {r.k: r.v for r in found} == model(commits, at)
     trimmed = visibility.trim(visibility.merges_as_puts(visibility.last_of_commit(log, ["k"]), ["k"], "v", merge.Sum().running), ["k"], len(commits) - 1)
     state = visibility.current(trimmed, ["k"]).collect()
     assert {r.k: r.v for r in state} == model(commits, len(commits))
