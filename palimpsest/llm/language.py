@@ -129,6 +129,24 @@ def fit(texts: list[bytes], languages: list[str]) -> Model:
     return fit_counts([gram_counts(text) for text in texts], languages)
 
 
+class _Sums:
+    """The products of a sparse matrix: for each ``to``, in order, the sum of ``value`` times the row ``of`` of a dense matrix."""
+
+    def __init__(self, to: np.ndarray, of: np.ndarray, value: np.ndarray, together: int = 500_000) -> None:
+        self.of, self.value = of, value
+        self.targets, self.starts = np.unique(to, return_index=True)
+        cuts = np.searchsorted(self.starts, np.arange(0, len(to) + together, together))
+        self.parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
+
+    def __call__(self, dense: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((size, dense.shape[1]), np.float32)
+        ends = np.append(self.starts, len(self.of))
+        for a, b in self.parts:
+            here = slice(ends[a], ends[b])
+            out[self.targets[a:b]] = np.add.reduceat(dense[self.of[here]] * self.value[here, None], self.starts[a:b] - ends[a], axis=0)
+        return out
+
+
 def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], steps: int = 150, rate: float = 30.0, enough: float = 0.01) -> Model:
     """Fit every bit's classifier by gradient descent on mean n-gram counts, until its mean loss is ``enough`` or for ``steps`` steps.
 
@@ -140,30 +158,28 @@ def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
     if not names:
         return Model((), code, np.zeros((size, 1), np.float32), np.zeros(1), np.ones(1))
     of = np.array([names.index(x) for x in languages])
-    rows, cols, values = [], [], []
-    for i, (found, n) in enumerate(counts):
-        rows.append(np.full(len(found), i))
-        cols.append(found.astype(np.int64))
-        values.append(n / max(1, n.sum() / 3))
-    row, col, value = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    lengths = np.array([len(found) for found, _ in counts], np.int64)
+    col = np.concatenate([found.astype(np.int32) for found, _ in counts])
+    value = np.concatenate([(n / max(1, n.sum() / 3)).astype(np.float32) for _, n in counts])
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), lengths)
     # Columns are scaled by the root of their mean, so rare n-grams learn as fast as common ones.
     scale = 1 / np.sqrt(np.bincount(col, value, size) / len(counts) + 1e-4)
-    value = value * scale[col]
+    value *= scale[col].astype(np.float32)
+    order = np.argsort(col, kind="stable")
+    by_row, by_column = _Sums(row, col, value), _Sums(col[order], row[order], value[order])
     share = (1 / np.bincount(of))[of] / len(names)
     target = code[of]
     bits = code.shape[1]
-    weights, bias = np.zeros((size, bits)), np.zeros(bits)
-    for b in range(bits):
-        for _ in range(steps):
-            margin = np.bincount(row, value * weights[col, b], len(counts)) + bias[b]
-            wrong = target[:, b] * margin
-            if (np.logaddexp(0, -wrong) * share).sum() < enough:
-                break
-            gradient = -target[:, b] * share / (1 + np.exp(np.clip(wrong, -50, 50)))
-            step = np.bincount(col, value * gradient[row], size)
-            weights[:, b] -= rate * (step + 1e-5 * weights[:, b])
-            bias[b] -= rate * 0.1 * gradient.sum()
-    margins = np.stack([np.bincount(row, value * weights[col, b], len(counts)) for b in range(bits)], axis=1) + bias
+    weights, bias = np.zeros((size, bits), np.float32), np.zeros(bits)
+    for _ in range(steps):
+        wrong = target * (by_row(weights, len(counts)) + bias)
+        learning = (np.logaddexp(0, -wrong) * share[:, None]).sum(axis=0) >= enough
+        if not learning.any():
+            break
+        gradient = -target * share[:, None] / (1 + np.exp(np.clip(wrong, -50, 50))) * learning
+        weights -= rate * (by_column(gradient.astype(np.float32), size) + 1e-5 * weights * learning)
+        bias -= rate * 0.1 * gradient.sum(axis=0)
+    margins = by_row(weights, len(counts)) + bias
     right = (((margins * target) > 0) * share[:, None]).sum(axis=0)
     trust = np.clip(2 * right - 1, 0.01, 1)
     return Model(names, code, (weights * scale[:, None]).astype(np.float32), bias, trust * bits / trust.sum())

@@ -38,8 +38,9 @@ class Table:
     columns: tuple[str, ...]
 
     @staticmethod
-    def write(rows: DataFrame, work: Workspace, name: str) -> Table:
-        work.stage(rows.orderBy("key"), name)
+    def write(rows: DataFrame, work: Workspace, name: str, ranges: bool = False) -> Table:
+        """``ranges`` says that the rows' partitions are ranges of keys in order already."""
+        work.stage(rows.sortWithinPartitions("key") if ranges else rows.orderBy("key"), name)
         return Table(qualified(work.spark, work.path(name)), tuple(c for c in rows.columns if c != "key"))
 
     def _map(self) -> tuple[np.ndarray, list[np.ndarray]]:

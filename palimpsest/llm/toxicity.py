@@ -158,10 +158,11 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
             differs = after[0] - after[1] - found.get(word, 0, unseen) - found.get(before, 1, 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)), pa.array(differs.astype(np.float32))], names=["key", "differs"])
 
+    # Ranges of buckets hold whole contexts, and ranges of the pairs' keys, which begin with the bucket.
     one = Window.partitionBy("bucket", "before")
-    met = counts.withColumns({f"n_{c}": F.sum(c).over(one) for c in classes} | {f"left_{c}": F.sum(F.least(F.col(c), F.lit(discount)).cast("double")).over(one) for c in classes})
+    met = counts.repartitionByRange("bucket").withColumns({f"n_{c}": F.sum(c).over(one) for c in classes} | {f"left_{c}": F.sum(F.least(F.col(c), F.lit(discount)).cast("double")).over(one) for c in classes})
     pairs = met.mapInArrow(lean(differ), "key long, differs float")
-    return Ratios(found, Table.write(pairs, work, "pairs"), unseen)
+    return Ratios(found, Table.write(pairs, work, "pairs", ranges=True), unseen)
 
 
 @dataclass(frozen=True)
