@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups
-from palimpsest.llm.shared import fresh, held_out, lean
+from palimpsest.llm.shared import fresh, hand_back, held_out, lean
 
 #: Training rows of each language, whole: the documented bound of the fit.
 ROWS_PER_LANGUAGE = 1_500
@@ -130,11 +130,12 @@ def fit(texts: list[bytes], languages: list[str]) -> Model:
 
 
 class _Sums:
-    """The products of a sparse matrix: for each ``to``, in order, the sum of ``value`` times the row ``of`` of a dense matrix."""
+    """The products of a sparse matrix: for each ``to``, which ascend, the sum of ``value`` times the row ``of`` of a dense matrix."""
 
     def __init__(self, to: np.ndarray, of: np.ndarray, value: np.ndarray, together: int = 500_000) -> None:
         self.of, self.value = of, value
-        self.targets, self.starts = np.unique(to, return_index=True)
+        self.starts = np.flatnonzero(np.diff(to, prepend=-1))
+        self.targets = to[self.starts]
         cuts = np.searchsorted(self.starts, np.arange(0, len(to) + together, together))
         self.parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
 
@@ -147,7 +148,20 @@ class _Sums:
         return out
 
 
-def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str], steps: int = 150, rate: float = 30.0, enough: float = 0.01) -> Model:
+def gathered(counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' features and their shares in one array each, and how many features each text has."""
+    counts = list(counts)
+    col = np.concatenate([found for found, _ in counts] or [np.zeros(0)]).astype(np.uint16)
+    value = np.concatenate([(n / max(1, n.sum() / 3)).astype(np.float32) for _, n in counts] or [np.zeros(0, np.float32)])
+    return col, value, np.array([len(found) for found, _ in counts], np.int64)
+
+
+def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Model:
+    """``fit_gathered`` of texts' feature counts."""
+    return fit_gathered(*gathered(counts), languages)
+
+
+def fit_gathered(col: np.ndarray, value: np.ndarray, lengths: np.ndarray, languages: list[str], steps: int = 150, rate: float = 30.0, enough: float = 0.01) -> Model:
     """Fit every bit's classifier by gradient descent on mean n-gram counts, until its mean loss is ``enough`` or for ``steps`` steps.
 
     Languages weigh alike, however many rows each has. Without rows the model knows no language.
@@ -158,13 +172,10 @@ def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
     if not names:
         return Model((), code, np.zeros((size, 1), np.float32), np.zeros(1), np.ones(1))
     of = np.array([names.index(x) for x in languages])
-    lengths = np.array([len(found) for found, _ in counts], np.int64)
-    col = np.concatenate([found.astype(np.int32) for found, _ in counts])
-    value = np.concatenate([(n / max(1, n.sum() / 3)).astype(np.float32) for _, n in counts])
-    row = np.repeat(np.arange(len(counts), dtype=np.int32), lengths)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     # Columns are scaled by the root of their mean, so rare n-grams learn as fast as common ones.
-    scale = 1 / np.sqrt(np.bincount(col, value, size) / len(counts) + 1e-4)
-    value *= scale[col].astype(np.float32)
+    scale = 1 / np.sqrt(np.bincount(col, value, size) / len(lengths) + 1e-4)
+    value = value * scale.astype(np.float32)[col]
     order = np.argsort(col, kind="stable")
     by_row, by_column = _Sums(row, col, value), _Sums(col[order], row[order], value[order])
     share = (1 / np.bincount(of))[of] / len(names)
@@ -172,14 +183,14 @@ def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], languages: list[str]
     bits = code.shape[1]
     weights, bias = np.zeros((size, bits), np.float32), np.zeros(bits)
     for _ in range(steps):
-        wrong = target * (by_row(weights, len(counts)) + bias)
+        wrong = target * (by_row(weights, len(lengths)) + bias)
         learning = (np.logaddexp(0, -wrong) * share[:, None]).sum(axis=0) >= enough
         if not learning.any():
             break
         gradient = -target * share[:, None] / (1 + np.exp(np.clip(wrong, -50, 50))) * learning
         weights -= rate * (by_column(gradient.astype(np.float32), size) + 1e-5 * weights * learning)
         bias -= rate * 0.1 * gradient.sum(axis=0)
-    margins = by_row(weights, len(counts)) + bias
+    margins = by_row(weights, len(lengths)) + bias
     right = (((margins * target) > 0) * share[:, None]).sum(axis=0)
     trust = np.clip(2 * right - 1, 0.01, 1)
     return Model(names, code, (weights * scale[:, None]).astype(np.float32), bias, trust * bits / trust.sum())
@@ -211,13 +222,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     counted = found.mapInArrow(lean(run), "lang string, h long, digest string, grams array<int>, n array<int>")
     rows = counted.orderBy("h", "digest").limit(2 * ROWS_PER_LANGUAGE * max(1, len(counts))).toArrow()
     taken: dict[str, int] = {}
-    chosen, languages = [], []
-    for i, name in enumerate(rows.column("lang").to_pylist()):
+    chosen = []
+    languages = rows.column("lang").to_pylist()
+    for i, name in enumerate(languages):
         if taken.get(name, 0) < ROWS_PER_LANGUAGE:
             taken[name] = taken.get(name, 0) + 1
-            chosen.append(tuple(rows.column(c)[i].values.to_numpy() for c in ("grams", "n")))
-            languages.append(name)
-    return fit_counts(chosen, languages)
+            chosen.append(i)
+    found = gathered(tuple(rows.column(c)[i].values.to_numpy() for c in ("grams", "n")) for i in chosen)
+    del rows  # the driver need not hold the counts twice
+    model = fit_gathered(*found, [languages[i] for i in chosen])
+    del found
+    pa.default_memory_pool().release_unused()
+    hand_back()
+    return model
 
 
 def _judge(model: Model, texts: list[bytes], letters: list[bool]) -> tuple[list[str], list[float], list[str | None], list[bool]]:
