@@ -11,7 +11,7 @@ level. Names are paths, so siblings elsewhere never change a draw.
 only new draw at the top and below it there is nothing else to choose, so every row
 that moves lands in the new shard (law ``key``).
 
-All of it compiles to one Column expression; the slots need one narrow shuffle.
+All of it compiles to one Column expression; the slots need narrow shuffles alone.
 """
 
 from __future__ import annotations
@@ -105,11 +105,15 @@ class HashTree:
         return descend(self.root).cast("int")
 
 
+#: Hexadecimal digits of a digest that make a draw: as many as a double holds exactly.
+DIGITS = 13
+
+
 def _draw(key: Column, node: Node) -> Column:
-    """An exponential draw of rate ``node.weight``."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 11)
-    uniform = (bits.cast("double") + 0.5) / F.lit(float(1 << 53))
-    return -F.log(uniform) / F.lit(node.weight)
+    """An exponential draw of rate ``node.weight``, from a digest of the key and of the node's name."""
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"/{node.name}"))
+    bits = F.conv(F.substring(F.md5(named.cast("binary")), 1, DIGITS), 16, 10).cast("double")
+    return -F.log((bits + 0.5) / F.lit(float(16**DIGITS))) / F.lit(node.weight)
 
 
 def assign(docs: DataFrame, tree: HashTree, spark: SparkSession, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,22 +125,24 @@ def assign(docs: DataFrame, tree: HashTree, spark: SparkSession, key: str = "doc
     keys follow their hash, each row with a slot of its own; an empty table gives no rows;
     other columns are not read.
 
-    Slots are numbered by input split, so that no shard is ever gathered in one task:
-    rows keep the number of the split that read them, counts per shard and split give each
-    split its first slot, and rows are numbered inside their own shard and split.
+    A shard's slots are in the order of doc_id (null first), checksum and row. No shard is ever gathered in one task: rows are written in ranges of
+    that order, counts per shard and range give each range its first slot, and rows are numbered inside their own shard and range.
     """
     work = Workspace(spark, "shards")
     body = utf8(F.col(text))
-    placed = docs.select(
+    rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         (F.octet_length(body) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         tree.shard_of(F.col(key)).alias("shard"),
         tree.grown().shard_of(F.col(key)).alias("grown_shard"),
-        F.spark_partition_id().alias("split"),
         F.monotonically_increasing_id().alias("row"),
     )
-    placed = work.stage(placed, "placed")
+    rows = work.stage(rows, "rows")
+    order = ["shard", "doc_id", "text_crc32", "row"]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row")
+    placed = work.stage(placed.withColumns({"split": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "placed")
+    work.drop("rows")
     counts = placed.groupBy("shard", "split").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -1,14 +1,13 @@
 """Operators against second implementations in plain Python: shard draws, class models, decoding, and the pipeline's stages."""
 
+import hashlib
 import math
 import re
-import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline
 from palimpsest.llm import language, packing, queries, sharding, toxicity
@@ -19,9 +18,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def draw(key, node):
-    seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
-    bits = xxhash.xxh64(node.name.encode(), seed=seed).intdigest() >> 11
-    return -math.log((bits + 0.5) / (1 << 53)) / node.weight
+    digest = hashlib.md5(f"{'' if key is None else key}/{node.name}".encode()).hexdigest()
+    return -math.log((int(digest[:13], 16) + 0.5) / 16**13) / node.weight
 
 
 def descend(key, node):
@@ -34,6 +32,9 @@ def descend(key, node):
 def test_shards_are_the_least_draws(spark, odd, layout):
     tree = sharding.HashTree.build(layout)
     found = sharding.assign(odd, tree, spark).collect()
+    for shard in {r.shard for r in found}:
+        keys = [(r.doc_id is not None, r.doc_id or 0, r.text_crc32) for r in sorted(found, key=lambda r: r.slot) if r.shard == shard]
+        assert keys == sorted(keys)
     assert all((r.shard, r.grown_shard) == (descend(r.doc_id, tree.root), descend(r.doc_id, tree.grown().root)) for r in found)
 
 
