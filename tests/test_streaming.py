@@ -54,3 +54,12 @@ def test_stateful_transitions(spark, log, tmp_path):
     q.awaitTermination()
     wanted = state_transitions(log[1], ["user_id"], ["seq"], high).select(F.col("user_id").cast("string"), F.col("seq"), "transition")
     assert sorted(map(tuple, spark.sql("SELECT * FROM flips").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_compacted_mirror(spark, log, tmp_path):
+    keys = ["user_id", "event_type"]
+    feeds.mirror(stream(spark, log), f"{tmp_path}/c", f"{tmp_path}/m", keys).awaitTermination()
+    feeds.compact_mirror(spark, f"{tmp_path}/m", f"{tmp_path}/one", keys)
+    columns = [*keys, "note", "seq"]
+    assert same(feeds.read_mirror(spark, f"{tmp_path}/one", keys).select(columns), feeds.read_mirror(spark, f"{tmp_path}/m", keys).select(columns))
+    assert spark.read.parquet(f"{tmp_path}/one").count() == log[1].select(keys).distinct().count()
