@@ -96,7 +96,7 @@ def _read(folder: str, name: str) -> bytes:
         return found.read()
 
 
-def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, text: str, pattern: str, folder: str, buckets: int) -> DataFrame:
     """Writes the streams of all blocks; returns their words by bucket."""
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _blocks(docs: DataFrame, pattern: str, folder: str, buckets: int) -> DataFra
                 packed = [_pack([encoded[j] for j in order[bounds[i] : bounds[i + 1]]]) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "bucket", "words"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return narrow.mapInArrow(lean(run), _BLOCKS)
 
 
@@ -200,11 +200,11 @@ def _decoded(ids: bytes, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str, decoded: bool = False, text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers. ``decoded`` adds ``decode``'s
     ``text_bytes``, where the documents are put together.
 
-    Null and empty texts have no ids; repeated rows are encoded each; an empty table gives no
+    Null and empty texts have no ids; very long texts are a block of their own; repeated rows are encoded each; an empty table gives no
     rows; other columns are not read.
     """
     work = Workspace(spark, "bpe")
@@ -212,7 +212,7 @@ def encode(docs: DataFrame, spark: SparkSession, ranks: str, pattern: str, decod
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = work.stage(_blocks(docs, pattern, folder, buckets), "words")
+    words = work.stage(_blocks(docs, text, pattern, folder, buckets), "words")
     encoded = _encode_words(words.repartition(buckets, "bucket"), ranks, pattern)
     # Blocks hold a bounded amount of text, so a block is a group that fits one task.
     schema = f"{_DOCS}, text_bytes binary" if decoded else _DOCS
