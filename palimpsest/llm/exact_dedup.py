@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import WHITE, Workspace, fresh, spread_join
+from palimpsest.llm.shared import WHITE, Workspace, fresh, settle, spread_join
 
 #: A piece ends behind a boundary pair, or at PIECE_CHARS. A chunk ends behind one piece of PIECES, by hash; one over LONG_CHARS, as
 #: periodic text makes, every MAX_PIECES pieces too.
@@ -93,6 +93,7 @@ def groups(docs: DataFrame, spark: SparkSession, text: str = "text", row: str |
     work = Workspace(spark, "exact")
     rows = work.stage(recipes(docs, work, text, row=row), "recipes")
     work.drop("chunked", "shared")
+    settle(spark)  # the chunks' shuffle
     rank = F.struct((-F.col("n_points")).alias("longer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     best = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
     best = work.stage(best.withColumn("copies", F.col("group_size")), "best")

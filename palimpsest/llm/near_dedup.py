@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
 from palimpsest.llm.hashing import byte_groups, hash_words, joined, mix
-from palimpsest.llm.shared import Workspace, fresh, hand_back, lean, spread_join, system_memory
+from palimpsest.llm.shared import Workspace, fresh, hand_back, lean, settle, spread_join, system_memory
 from palimpsest.llm.tables import Table
 
 WORDS = 5
@@ -403,6 +403,7 @@ class Linker:
     def run(self) -> DataFrame:
         """``node, component`` of every linked node, stored."""
         lists = self.lists()
+        settle(self.work.spark)
         links, of = [], None
         if self.leaders:
             links.append(self.tested(self.star(lists), "star"))
@@ -446,6 +447,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", pe
     nodes = signed.select(F.col("row").alias("node"), "sketch").join(equal.select("node", "n"), "node")
     nodes = work.stage(nodes, "nodes")
     work.drop("sketches")
+    settle(spark)
 
     def sets(ends: DataFrame, name: str) -> DataFrame:
         ends = equal.select("node", "key", "digest").join(ends, "node", "left_semi")
@@ -453,6 +455,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, text: str = "text", pe
 
     linked = Linker(nodes, sets, work, percent, plan).run()
     work.drop("nodes")
+    settle(spark)
     of = equal.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = work.stage(of.join(least, "component").select("digest", "component", "component_id", "copies"), "labels")

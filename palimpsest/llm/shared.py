@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,10 +42,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. It does so when the driver's JVM collects
+    garbage, which may be long after tables were staged and their shuffles are of no use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """Tables written under the shared folder; they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        settle(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups, hash_words, joined, mix
 from palimpsest.llm.language import _FOLD
-from palimpsest.llm.shared import Workspace, held_out, lean
+from palimpsest.llm.shared import Workspace, held_out, lean, settle
 from palimpsest.llm.tables import Table
 
 DISCOUNT = 0.75
@@ -234,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     # Labels are looked up where the texts are scanned, so no text moves.
     each = counted.groupBy(F.col("doc_id").cast("long").alias("key")).agg(*[F.count_if(F.col("toxic") == c).cast("float").alias(n) for n, c in (("toxic", True), ("ordinary", False))])
     counts = work.stage(_count(texts, Table.write(each, work, "labels")), "counts")
+    settle(docs.sparkSession)  # the counts' shuffle
     plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
     work.drop("counts", "words")
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
