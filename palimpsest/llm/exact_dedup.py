@@ -95,9 +95,10 @@ def groups(docs: DataFrame, spark: SparkSession, text: str = "text", row: str |
     work.drop("chunked", "shared")
     settle(spark)  # the chunks' shuffle
     rank = F.struct((-F.col("n_points")).alias("longer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    best = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    best = work.stage(best.withColumn("copies", F.col("group_size")), "best")
-    return spread_join(rows, best, "recipe", "copies", rows.count()).select(
+    best = rows.groupBy("recipe").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"), F.first("text_sha256").alias("text_sha256"))
+    # Groups are formed by recipes; their rows find them by the text's digest, which is short however long the text.
+    best = work.stage(best.select("text_sha256", "best", "group_size", F.col("group_size").alias("copies")), "best")
+    return spread_join(rows.drop("recipe"), best, "text_sha256", "copies", rows.count()).select(
         "row",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
