@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,21 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The workspaces that were opened inside each ``scratch`` block that is entered.
+_scratch: list[list["Workspace"]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete all workspaces that are opened inside the block when it ends; what they led to must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for found in _scratch.pop():
+            found.remove()
+
+
 class Workspace:
     """Tables written under the shared folder; they cut lineage and outlive executors."""
 
@@ -56,6 +72,8 @@ class Workspace:
         settle(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+        if _scratch:
+            _scratch[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -70,11 +88,16 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete staged tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(conf).delete(at, True)
+            self._delete(self.path(name))
+
+    def remove(self) -> None:
+        """Delete the whole workspace."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def system_memory() -> None:
