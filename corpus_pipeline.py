@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import exact_dedup, language, near_dedup, packing, toxicity
-from palimpsest.llm.shared import Workspace
+from palimpsest.llm.shared import Workspace, scratch
 
 
 # What holds for every stage: an empty table gives an empty one; extra columns come along whatever their names; very long
@@ -56,11 +56,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again. What a stage wrote on its way, and the table of the stage before, go when
+    its own table is written."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = work.stage(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = work.stage(stage(spark, docs, sf_dir), name)
         if i:
             work.drop(STAGES[i - 1][0])
     return docs
