@@ -145,6 +145,8 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
     shown = [F.coalesce(ratio, F.lit(unseen)).alias("ratio"), F.coalesce(context, F.lit(0.0)).alias("context")]
     shown += [F.coalesce(f"p_{c}", F.lit(0.0)).alias(f"p_{c}") for c in classes]
     found = Table.write(both.select(F.col("word").alias("key"), *shown).select("key", *[F.col(c).cast("float").alias(c) for c in ("ratio", "context", "p_toxic", "p_ordinary")]), work, "ratios")
+    work.drop("words")
+    settle(work.spark)  # the words' shuffles, before those of the pairs
 
     def differ(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -236,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     counts = work.stage(_count(texts, Table.write(each, work, "labels")), "counts")
     settle(docs.sparkSession)  # the counts' shuffle
     plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
-    work.drop("counts", "words")
+    work.drop("counts")
+    settle(docs.sparkSession)  # the pairs' shuffle, before every machine copies the table
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
