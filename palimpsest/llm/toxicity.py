@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.hashing import byte_groups, hash_words, joined, mix
 from palimpsest.llm.language import _FOLD
-from palimpsest.llm.shared import Workspace, held_out, lean, settle
+from palimpsest.llm.shared import Workspace, held_out, lean, settle, settle_fully
 from palimpsest.llm.tables import Table
 
 DISCOUNT = 0.75
@@ -146,7 +146,7 @@ def log_ratios(counts: DataFrame, work: Workspace, discount: float = DISCOUNT) -
     shown += [F.coalesce(f"p_{c}", F.lit(0.0)).alias(f"p_{c}") for c in classes]
     found = Table.write(both.select(F.col("word").alias("key"), *shown).select("key", *[F.col(c).cast("float").alias(c) for c in ("ratio", "context", "p_toxic", "p_ordinary")]), work, "ratios")
     work.drop("words")
-    settle(work.spark)  # the words' shuffles, before those of the pairs
+    settle_fully(work.spark)  # the words' shuffles, before those of the pairs
 
     def differ(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     settle(docs.sparkSession)  # the counts' shuffle
     plain = Model(log_ratios(counts, work), np.zeros(MEASURES), 0.0)
     work.drop("counts")
-    settle(docs.sparkSession)  # the pairs' shuffle, before every machine copies the table
+    settle_fully(docs.sparkSession)  # the pairs' shuffle, before every machine copies the table
     chosen = usable.join(F.broadcast(sample), "doc_id", "left_semi")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ import re
 import time
 from pathlib import Path
 
-from palimpsest.llm.shared import settle
+from palimpsest.llm.shared import settle, settle_fully
 
 
 def test_the_drivers_jvm_hands_native_memory_back(spark):
@@ -23,3 +23,15 @@ def test_the_drivers_jvm_hands_native_memory_back(spark):
     settle(spark)
     assert resident() < before - 50
     assert len(kept) == 60
+
+
+def test_shuffles_are_gone_when_settled_fully(spark):
+    """Not some time after."""
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    settle_fully(spark)
+    before = known.size()
+    for _ in range(20):
+        spark.range(100).repartition(3).groupBy("id").count().collect()
+    assert known.size() >= before + 20
+    settle_fully(spark)
+    assert known.size() <= before + 1

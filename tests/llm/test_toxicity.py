@@ -63,9 +63,9 @@ def test_expressions_of_ordinary_words(spark):
 def test_shuffle_files_go_after_each_table(spark, monkeypatch):
     """Finished shuffles are freed before the pairs are shuffled, and again before every machine copies the table of the pairs."""
     order = []
-    settle, write, logistic = toxicity.settle, Table.write, toxicity._logistic
-    monkeypatch.setattr(toxicity, "settle", lambda s: order.append("settle") or settle(s))
+    settle_fully, write, logistic = toxicity.settle_fully, Table.write, toxicity._logistic
+    monkeypatch.setattr(toxicity, "settle_fully", lambda s: order.append("freed") or settle_fully(s))
     monkeypatch.setattr(Table, "write", staticmethod(lambda rows, work, name, **more: order.append(name) or write(rows, work, name, **more)))
     monkeypatch.setattr(toxicity, "_logistic", lambda *of: order.append("fit") or logistic(*of))
     toxicity.train(*tables(spark, [(i, f"word{'abc'[i % 3]} here", i % 2) for i in usable(60)]))
-    assert order == ["labels", "settle", "ratios", "settle", "pairs", "settle", "fit"]
+    assert order == ["labels", "ratios", "freed", "pairs", "freed", "fit"]
